@@ -226,11 +226,16 @@ def components(docs: DataFrame, radius: int = 3, bucket: int = 4096, id_col: str
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id. Rows without doc_id are all kept."""
+    """``docs`` with one row of each component: that with the smallest doc_id. Rows without doc_id are all kept.
+
+    Documents meet the ids that stay by a shuffle at every size: those ids grow with the documents, and a broadcast while
+    they are few would only hide what the stage costs.
+    """
     found = materialize(components(docs, radius), "simhash-components")
     stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = materialize(stay, "simhash-stay")
-    kept = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    once = stay.where("n = 1").select("doc_id").hint("shuffle_hash")
+    kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if not stay.where("n > 1").isEmpty():
         kept = kept.unionByName(docs.join(stay.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(*docs.columns)

@@ -222,6 +222,7 @@ def components(docs: DataFrame, radius: int = 3, bucket: int = 4096, id_col: str
     lowest = member.groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = member.join(lowest, "component").select("fp", "lowest")
     table = reps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component_id"))
+    table = materialize(table, "simhash-table")  # so that the last join has a shuffle on either side, and a hot fingerprint is split
     return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

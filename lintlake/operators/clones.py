@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import MASK, MIX_A, MIX_B, MIX_STEP, gram_hashes
+from ..functions.hashing import FNV_OFFSET, FNV_PRIME, MASK, MIX_A, MIX_B, MIX_STEP, SEPARATOR
 
 #: Sizes of the signature, its bands, grams; limits of results; pairs that are compared exhaustively.
 SIGNATURE, BANDS, ROWS, GRAM = 128, 16, 8, 12
@@ -34,43 +35,83 @@ def tokens() -> Column:
     return F.filter(made, lambda x: x["value"].isNotNull())
 
 
-def minhash(df: DataFrame, hashes: str = "k_gram_hashes", out: str = "signature", size: int = SIGNATURE) -> DataFrame:
-    """``df`` with the MinHash signature of an array of 32-bit hashes; empty for none. Arrow batches, numpy."""
-    from pyspark.sql.functions import pandas_udf
-
+def gram_hash_arrays(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
+    """Distinct FNV-1a hashes of each list's grams, in order of first appearance; all grams advance together in numpy."""
+    units, starts, ends, counts, at = [], [], [], [], 0
+    for tokens_ in token_lists:
+        own = np.frombuffer(SEPARATOR.join(tokens_).encode("utf-16-le", "surrogatepass"), "<u2")
+        sizes = np.array([len(t) + sum(c > "\uffff" for c in t) if not t.isascii() else len(t) for t in tokens_], np.int64)
+        first = at + np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(sizes) else sizes
+        w = min(k, len(tokens_))
+        n = len(tokens_) - w + 1 if w else 0
+        starts.append(first[:n])
+        ends.append(first[w - 1 : w - 1 + n] + sizes[w - 1 : w - 1 + n] if n else sizes)
+        counts.append(n)
+        units.append(own)
+        at += len(own)
+    if not sum(counts):
+        return [np.zeros(0, np.int64) for _ in token_lists]
+    text, start, end = np.concatenate(units), np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(start - end, kind="stable")  # longest first, so that those still growing are a head of the array
+    begin, length = start[order], (end - start)[order]
+    h = np.full(len(begin), FNV_OFFSET, np.uint64)
+    growing = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
+    for step, n in enumerate(growing):
+        h[:n] = ((h[:n] ^ text[begin[:n] + step]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
+    out = np.empty(len(h), np.int64)
+    out[order] = h.astype(np.int64)
+    parts = np.split(out, np.cumsum(counts)[:-1])
+    return [p[np.sort(np.unique(p, return_index=True)[1])] for p in parts]
+
+
+def _mapped(df: DataFrame, column: str, out: str, work, rows: int = 512) -> DataFrame:
+    """``df`` with ``column`` (an array) replaced by the array<bigint> ``out`` that ``work`` makes of lists of it."""
+    keep = [c for c in df.columns if c not in (column, out)]
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField(out, T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = work(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int64()))], names=[*keep, out])
+
+    return df.select(*keep, column).mapInArrow(run, schema)
+
+
+def with_gram_hashes(df: DataFrame, values: str, out: str = "k_gram_hashes", k: int = GRAM) -> DataFrame:
+    """``df`` with the tokens in ``values`` replaced by their distinct gram hashes. Arrow batches; the hashes are used
+    several times downstream, and a mapped column is never evaluated twice. functions.hashing has the same as columns."""
+    return _mapped(df, values, out, lambda lists: gram_hash_arrays([x or [] for x in lists], k))
+
+
+def signature_of(hashes: list[int] | None, size: int = SIGNATURE) -> list[int]:
+    if not hashes:
+        return []
     seeds = (np.arange(1, size + 1, dtype=np.uint64) * MIX_STEP & MASK).astype(np.uint32)
-
-    @pandas_udf("array<bigint>")
-    def signature(column):
-        import pandas as pd
-
-        rows = []
-        for values in column:
-            if values is None or not len(values):
-                rows.append([])
-                continue
-            low = np.full(size, MASK, np.uint32)
-            v = np.asarray(values, np.int64).astype(np.uint32)
-            for at in range(0, len(v), 4096):
-                h = v[at : at + 4096, None] ^ seeds[None, :]
-                h ^= h >> np.uint32(16)
-                h *= np.uint32(MIX_A)
-                h ^= h >> np.uint32(13)
-                h *= np.uint32(MIX_B)
-                h ^= h >> np.uint32(16)
-                np.minimum(low, h.min(axis=0), out=low)
-            rows.append(low.astype(np.int64))
-        return pd.Series(rows)
-
-    return df.withColumn(out, signature(F.col(hashes)))
+    low, v = np.full(size, MASK, np.uint32), np.asarray(hashes, np.int64).astype(np.uint32)
+    for at in range(0, len(v), 4096):
+        h = v[at : at + 4096, None] ^ seeds[None, :]
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(MIX_A)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(MIX_B)
+        h ^= h >> np.uint32(16)
+        np.minimum(low, h.min(axis=0), out=low)
+    return low.astype(np.int64).tolist()
+
+
+def minhash(df: DataFrame, hashes: str = "k_gram_hashes", out: str = "signature") -> DataFrame:
+    """``df`` with the MinHash signature of an array of 32-bit hashes; empty for none. Arrow batches, numpy."""
+    return _mapped(df.withColumn("_h", F.col(hashes)), "_h", out, lambda lists: [signature_of(x) for x in lists])
 
 
 def fingerprints(parsed: DataFrame, metrics: DataFrame) -> DataFrame:
     """(project_key, file, language, token_count, k_gram_size, k_gram_hashes, signature, ncloc) per file."""
     df = parsed.select("project_key", "file", "language", F.transform(tokens(), lambda t: t["value"]).alias("values"))
     n = F.size("values").cast("bigint")
-    df = df.select("project_key", "file", "language", n.alias("token_count"), F.least(F.lit(GRAM), F.greatest(F.lit(1), n)).cast("bigint").alias("k_gram_size"), gram_hashes(F.col("values"), GRAM).alias("k_gram_hashes"))
-    return minhash(df).join(metrics.select("project_key", "file", "ncloc"), ["project_key", "file"])
+    df = df.select("project_key", "file", "language", n.alias("token_count"), F.least(F.lit(GRAM), F.greatest(F.lit(1), n)).cast("bigint").alias("k_gram_size"), "values")
+    return minhash(with_gram_hashes(df, "values")).join(metrics.select("project_key", "file", "ncloc"), ["project_key", "file"])
 
 
 def bands(df: DataFrame, keep: list[str], signature: str = "signature") -> DataFrame:
@@ -86,29 +127,35 @@ def jaccard(matching: Column, n_a: Column, n_b: Column) -> Column:
 
 def classes(sets: DataFrame, scope: list[str], id_col: str, hashes: str) -> DataFrame:
     """``sets`` with class_id: the smallest id of the scope with the same set of hashes, so copies are joined once."""
-    key = F.xxhash64(F.array_sort(hashes))
-    rows = sets.withColumn("_set", F.array_sort(hashes)).withColumn("_key", key)
-    least = rows.groupBy(*scope, "_key", F.sha2(F.array_join(F.col("_set").cast("array<string>"), ","), 256).alias("_sha")).agg(F.min(id_col).alias("class_id"))
-    rows = rows.withColumn("_sha", F.sha2(F.array_join(F.col("_set").cast("array<string>"), ","), 256))
-    return rows.join(least, [*scope, "_key", "_sha"]).drop("_set", "_key", "_sha")
+    rows = sets.withColumn("_sha", F.sha2(F.array_join(F.array_sort(hashes).cast("array<string>"), ","), 256))
+    least = rows.groupBy(*scope, "_sha").agg(F.min(id_col).alias("class_id"))
+    return rows.join(least, [*scope, "_sha"]).drop("_sha")
 
 
-def candidate_pairs(sets: DataFrame, scope: list[str], id_col: str, hashes: str, threshold: float) -> DataFrame:
-    """(scope..., id_a, id_b), id_a < id_b: all pairs that may reach the threshold, by a prefix-filtered equi-join.
+def prefixes(sets: DataFrame, scope: list[str], ids: list[str], hashes: str, threshold: float) -> DataFrame:
+    """(scope..., ids..., n, h): of each set the hashes that a pair reaching the threshold must meet on.
 
-    Hashes of each set are ordered by rarity in the scope. A pair with Jaccard >= t shares at least one hash among the
-    first n - ceil(t * n) + 1 of each side, so only those are joined, and sizes bound each other by t. Frequent hashes
-    come last and mostly drop out of the prefixes; none is dropped from the similarity.
+    Hashes are ordered by rarity in the scope, ties by value. Two sets with Jaccard >= t share one of the first
+    n - ceil(t * n) + 1 of each. Frequent hashes come last and mostly drop out; none is dropped from the similarity.
     """
-    df = sets.select(*scope, F.col(id_col).alias("id"), F.size(hashes).alias("n"), F.explode(hashes).alias("h"))
+    df = sets.select(*scope, *ids, F.size(hashes).alias("n"), F.explode(hashes).alias("h"))
     frequency = df.groupBy(*scope, "h").agg(F.count("*").alias("df"))
-    ranked = df.join(frequency, [*scope, "h"]).groupBy(*scope, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 if threshold > 0 else F.col("n")
-    prefix = ranked.select(*scope, "id", "n", F.explode(F.slice("hs", F.lit(1), F.greatest(F.lit(1), F.least(F.col("n"), length)))).alias("x")).select(*scope, "id", "n", F.col("x.h").alias("h"))
+    ranked = df.join(frequency, [*scope, "h"]).groupBy(*scope, *ids, "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    cut = F.slice("hs", F.lit(1), F.greatest(F.lit(1), F.least(F.col("n"), length)))
+    return ranked.select(*scope, *ids, "n", F.explode(cut).alias("x")).select(*scope, *ids, "n", F.col("x.h").alias("h"))
+
+
+def _sizes_fit(a: str, b: str, threshold: float) -> Column:
+    return (F.col(a) * 1.0 >= F.col(b) * threshold - 1e-9) & (F.col(b) * 1.0 >= F.col(a) * threshold - 1e-9)
+
+
+def candidate_pairs(sets: DataFrame, scope: list[str], id_col: str, hashes: str, threshold: float) -> DataFrame:
+    """(scope..., id_a, id_b), id_a < id_b: all pairs that may reach the threshold, by an equi-join of prefixes."""
+    prefix = prefixes(sets.withColumnRenamed(id_col, "id"), scope, ["id"], hashes, threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "h"]]
-    bound = (F.col("a.n") * 1.0 >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") * 1.0 >= F.col("a.n") * threshold - 1e-9)
-    joined = a.join(b, [*same, F.col("a.id") < F.col("b.id"), bound])
+    joined = a.join(b, [*same, F.col("a.id") < F.col("b.id"), _sizes_fit("a.n", "b.n", threshold)])
     return joined.select(*[F.col(f"a.{c}").alias(c) for c in scope], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
@@ -138,12 +185,9 @@ def project_pairs(fps: DataFrame, threshold: float = 0.2, limit: int = FILE_PAIR
     of files and LSH for larger ones. Copies are joined once as a class and of each class only as many files as
     the limit can need are put back, so no group of copies is expanded.
     """
-    w = F.row_number().over(_window(["project_key"], [F.collate("file", "UNICODE"), F.col("file")]))
-    ranked = fps.withColumn("idx", w)
-    sized = ranked.join(ranked.groupBy("project_key").agg(F.count("*").alias("n_files")), "project_key")
-    usable = sized.where(F.size("k_gram_hashes") > 0)
-    grouped = classes(usable, ["project_key"], "idx", "k_gram_hashes")
-    reps = grouped.where(F.col("idx") == F.col("class_id"))
+    sized = fps.join(fps.groupBy("project_key").agg(F.count("*").alias("n_files")), "project_key")
+    grouped = classes(sized.where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
+    reps = grouped.where(F.col("file") == F.col("class_id"))
     small = F.col("n_files") * (F.col("n_files") - 1) / 2 <= EXHAUSTIVE
     parts = []
     if mode in ("exact", "auto"):
@@ -153,13 +197,14 @@ def project_pairs(fps: DataFrame, threshold: float = 0.2, limit: int = FILE_PAIR
     candidates = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     between = verified(candidates, reps, ["project_key"], "class_id", "k_gram_hashes", threshold)
     within = reps.select("project_key", F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.size("k_gram_hashes").cast("bigint").alias("matching_k_grams"))
-    members = grouped.withColumn("_r", F.row_number().over(_window(["project_key", "class_id"], [F.col("idx")]))).where(F.col("_r") <= limit + 1).select("project_key", "class_id", "idx", "file")
-    side = lambda x: members.select("project_key", F.col("class_id").alias(f"id_{x}"), F.col("idx").alias(f"i_{x}"), F.col("file").alias(f"f_{x}"))
+    first = F.row_number().over(_window(["project_key", "class_id"], [F.collate("file", "UNICODE"), F.col("file")]))
+    members = grouped.select("project_key", "class_id", "file").withColumn("_r", first).where(F.col("_r") <= limit + 1)
+    side = lambda x: members.select("project_key", F.col("class_id").alias(f"id_{x}"), F.col("file").alias(f"f_{x}"))
     full = between.unionByName(within).join(side("a"), ["project_key", "id_a"]).join(side("b"), ["project_key", "id_b"])
-    full = full.where((F.col("id_a") != F.col("id_b")) | (F.col("i_a") < F.col("i_b")))
-    swap = F.col("i_a") > F.col("i_b")
-    full = full.select("project_key", "jaccard", "matching_k_grams", F.least("i_a", "i_b").alias("idx_a"), F.greatest("i_a", "i_b").alias("idx_b"), F.when(swap, F.col("f_b")).otherwise(F.col("f_a")).alias("file_a"), F.when(swap, F.col("f_a")).otherwise(F.col("f_b")).alias("file_b"))
-    order = [F.desc("jaccard"), F.desc("matching_k_grams"), F.col("idx_a"), F.col("idx_b")]
+    place = lambda c: F.struct(F.collate(c, "UNICODE"), F.col(c))
+    full = full.withColumn("_swap", place("f_a") > place("f_b")).where((F.col("id_a") != F.col("id_b")) | (place("f_a") < place("f_b")))
+    full = full.select("project_key", "jaccard", "matching_k_grams", F.when(F.col("_swap"), F.col("f_b")).otherwise(F.col("f_a")).alias("file_a"), F.when(F.col("_swap"), F.col("f_a")).otherwise(F.col("f_b")).alias("file_b"))
+    order = [F.desc("jaccard"), F.desc("matching_k_grams"), F.collate("file_a", "UNICODE"), F.collate("file_b", "UNICODE"), F.col("file_a"), F.col("file_b")]
     top = full.withColumn("seq", F.row_number().over(_window(["project_key"], order))).where(F.col("seq") <= limit)
     return top.select("project_key", "file_a", "file_b", F.lit("file").alias("kind"), "jaccard", "matching_k_grams", *_no_lines(), "seq")
 
@@ -178,30 +223,43 @@ def history_pairs(current: DataFrame, stored: DataFrame, threshold: float = 0.2,
     """Pairs of each current project's files with files stored for other projects, which are labelled as history.
 
     Exhaustive where files times stored files of others are at most 10,000 (or mode is "exact"), else over shared bands.
+    Files with equal sets of grams are joined once; of each such class only the files that the limit can need are put
+    back: the first ``limit`` of a current project, and of the stored ones the first ``limit`` of each project and twice
+    that in all, so that enough are left without the project's own.
     """
-    counts = current.groupBy("project_key").agg(F.count("*").alias("n_cur"))
     n_all = stored.count() if mode == "auto" else 0
+    counts = current.groupBy("project_key").agg(F.count("*").alias("n_cur"))
     own = stored.groupBy("project_key").agg(F.count("*").alias("n_own"))
     sizes = counts.join(own, "project_key", "left").withColumn("small", F.col("n_cur") * (F.lit(n_all) - F.coalesce("n_own", F.lit(0))) <= EXHAUSTIVE)
-    cur = current.where(F.size("k_gram_hashes") > 0).join(sizes.select("project_key", "small"), "project_key")
-    cur = cur.select("project_key", "small", F.col("file").alias("file_a"), "k_gram_hashes", "signature")
-    old = stored.where(F.size("k_gram_hashes") > 0).select(F.col("project_key").alias("from_key"), F.col("file").alias("from_file"), F.col("k_gram_hashes").alias("old_hashes"), F.col("signature").alias("old_signature"))
-    keys = ["project_key", "file_a", "from_key", "from_file"]
+    sha = F.sha2(F.array_join(F.array_sort("k_gram_hashes").cast("array<string>"), ","), 256)
+    cur = current.where(F.size("k_gram_hashes") > 0).join(sizes.select("project_key", "small"), "project_key").withColumn("sha_a", sha)
+    old = stored.where(F.size("k_gram_hashes") > 0).select(F.col("project_key").alias("from_key"), F.col("file").alias("from_file"), sha.alias("sha_b"), "k_gram_hashes", "signature")
+    cur_sets = cur.groupBy("project_key", "sha_a").agg(F.first("small").alias("small"), F.first("k_gram_hashes").alias("h_a"), F.first("signature").alias("signature"))
+    old_sets = old.groupBy("sha_b").agg(F.first("k_gram_hashes").alias("h_b"), F.first("signature").alias("signature"))
     parts = []
     if mode in ("exact", "auto"):
-        a = (cur.where("small") if mode == "auto" else cur).select("project_key", "file_a", F.explode("k_gram_hashes").alias("h"))
-        b = old.select("from_key", "from_file", F.explode("old_hashes").alias("h"))
-        parts.append(a.join(b, "h").where("project_key <> from_key").select(*keys).distinct())
+        wanted = (cur_sets.where("small") if mode == "auto" else cur_sets).select("sha_a", "h_a").dropDuplicates(["sha_a"])
+        both = wanted.select(F.concat(F.lit("a"), F.col("sha_a")).alias("id"), F.col("h_a").alias("h")).union(old_sets.select(F.concat(F.lit("b"), F.col("sha_b")), "h_b"))
+        prefix = prefixes(both, [], ["id"], "h", threshold)
+        a, b = prefix.where(F.col("id").startswith("a")).alias("a"), prefix.where(F.col("id").startswith("b")).alias("b")
+        met = a.join(b, [F.col("a.h") == F.col("b.h"), _sizes_fit("a.n", "b.n", threshold)])
+        met = met.select(F.substring("a.id", 2, 64).alias("sha_a"), F.substring("b.id", 2, 64).alias("sha_b")).distinct()
+        keys = (cur_sets.where("small") if mode == "auto" else cur_sets).select("project_key", "sha_a")
+        parts.append(keys.join(met, "sha_a").select("project_key", "sha_a", "sha_b"))
     if mode in ("lsh", "auto"):
-        a = bands(cur.where("not small") if mode == "auto" else cur, ["project_key", "file_a"])
-        b = bands(old, ["from_key", "from_file"], "old_signature")
-        parts.append(a.join(b, ["band", "band_key"]).where("project_key <> from_key").select(*keys).distinct())
+        a = bands(cur_sets.where("not small") if mode == "auto" else cur_sets, ["project_key", "sha_a"])
+        parts.append(a.join(bands(old_sets, ["sha_b"]), ["band", "band_key"]).select("project_key", "sha_a", "sha_b").distinct())
     pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    full = pairs.join(cur.drop("small", "signature"), ["project_key", "file_a"]).join(old.drop("old_signature"), ["from_key", "from_file"])
-    m = F.size(F.array_intersect("k_gram_hashes", "old_hashes")).cast("bigint")
-    full = full.withColumn("matching_k_grams", m).withColumn("jaccard", jaccard(F.col("matching_k_grams"), F.size("k_gram_hashes"), F.size("old_hashes")))
+    full = pairs.join(cur_sets.select("project_key", "sha_a", "h_a"), ["project_key", "sha_a"]).join(old_sets.select("sha_b", "h_b"), "sha_b")
+    m = F.size(F.array_intersect("h_a", "h_b")).cast("bigint")
+    full = full.select("project_key", "sha_a", "sha_b", m.alias("matching_k_grams"), jaccard(m, F.size("h_a"), F.size("h_b")).alias("jaccard"))
     full = full.where((F.col("matching_k_grams") > 0) & (F.col("jaccard") >= threshold))
-    order = [F.desc("jaccard"), F.desc("matching_k_grams"), F.collate("file_a", "UNICODE"), F.col("from_key"), F.col("from_file")]
+    by_file = [F.collate("file_a", "UNICODE"), F.col("file_a")]
+    members_a = cur.select("project_key", "sha_a", F.col("file").alias("file_a")).withColumn("_r", F.row_number().over(_window(["project_key", "sha_a"], by_file))).where(F.col("_r") <= limit).drop("_r")
+    members_b = old.select("sha_b", "from_key", "from_file").withColumn("_r", F.row_number().over(_window(["sha_b", "from_key"], [F.col("from_file")]))).where(F.col("_r") <= limit)
+    members_b = members_b.withColumn("_r", F.row_number().over(_window(["sha_b"], [F.col("from_key"), F.col("from_file")]))).where(F.col("_r") <= 2 * limit).drop("_r")
+    full = full.join(members_a, ["project_key", "sha_a"]).join(members_b, "sha_b").where("project_key <> from_key")
+    order = [F.desc("jaccard"), F.desc("matching_k_grams"), *by_file, F.col("from_key"), F.col("from_file")]
     top = full.withColumn("seq", F.row_number().over(_window(["project_key"], order))).where(F.col("seq") <= limit)
     label = F.concat(F.lit("history/"), F.col("from_key"), F.lit("/"), F.col("from_file"))
     return top.select("project_key", "file_a", label.alias("file_b"), F.lit("file").alias("kind"), "jaccard", "matching_k_grams", *_no_lines(), "seq")

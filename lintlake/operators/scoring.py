@@ -60,7 +60,7 @@ def _entry(holds: Column, category: str, label: str, count: Column, points: Colu
 
 def gate(deducted: DataFrame, profile: ScoreProfile, pass_score: float | None = None) -> DataFrame:
     """Score, pass line, verdict and, if it failed, the reasons. Scores are raw doubles; only texts are rounded."""
-    line = clamp(profile.pass_score if pass_score is None else pass_score, 0.0, 100.0)
+    line = float(clamp(profile.pass_score if pass_score is None else pass_score, 0.0, 100.0))
     total = F.aggregate("deductions", F.lit(0.0), lambda s, d: s + d["points"])
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - total))
     df = deducted.withColumn("score", score).withColumn("passed", F.col("score") >= F.lit(line))

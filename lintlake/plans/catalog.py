@@ -1,9 +1,583 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each over the whole of the driver's tables, and the SQL that checks them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import text as X
+from ..functions.hashing import FNV_OFFSET
+from ..operators import blocks, clones, metrics, rules, scoring, store, views
+from ..options import DEFAULT_PROFILE, CustomProfile, MetricRule
+from ..report import json_rows
+from ..sources.ignore import IgnoreRule, ignored, in_excluded_directory
+from . import sqltext as S
+from . import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def big(column):
+    return column.cast("bigint")
+
+
+# sources and filters
+
+
+@query("q01_source_scan", "SELECT source AS project_key, doc_id, lang FROM documents WHERE lang IN ('en', 'de') ORDER BY source, doc_id")
+def q01(spark, d):
+    return T.read(spark, d, "documents").where(F.col("lang").isin("en", "de")).select(F.col("source").alias("project_key"), "doc_id", "lang").orderBy(F.collate("project_key", "UNICODE"), "doc_id")
+
+
+@query("q02_scanned_skipped", "SELECT CAST(count(*) AS BIGINT) AS scanned, CAST(count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'de')) AS BIGINT) AS skipped FROM documents")
+def q02(spark, d):
+    return T.read(spark, d, "documents").agg(F.count("*").alias("scanned"), F.count_if(~F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))).alias("skipped"))
+
+
+IGNORE = (
+    IgnoreRule("", 0, "fr", False, True, False),
+    IgnoreRule("", 1, "de/1*", False, False, True),
+    IgnoreRule("", 2, "*7", False, False, False),
+    IgnoreRule("", 3, "*17", True, False, False),
+    IgnoreRule("en", 4, "2?", False, False, False),
+)
+
+
+@query(
+    "q03_ignore_rules",
+    """
+WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]+/([^?#]*[^?#/])', 1) AS path FROM pages),
+d AS (SELECT page_id, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^([^/]*)/', 1) ELSE '' END AS dir FROM p)
+SELECT page_id, path,
+  CASE WHEN regexp_matches(path, '^en/(?:[^/]*/)*2[^/](?:/.*)?$') THEN TRUE WHEN regexp_matches(path, '^(?:[^/]*/)*[^/]*17(?:/.*)?$') THEN FALSE
+       WHEN regexp_matches(path, '^(?:[^/]*/)*[^/]*7(?:/.*)?$') THEN TRUE WHEN regexp_matches(path, '^de/1[^/]*$') THEN TRUE ELSE FALSE END
+  OR CASE WHEN regexp_matches(dir, '17$') THEN FALSE WHEN regexp_matches(dir, '7$') THEN TRUE ELSE dir = 'fr' END AS ignored
+FROM d""",
+)
+def q03(spark, d):
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://[^/]+/([^?#]*[^?#/])", 1)
+    df = T.read(spark, d, "pages").select("page_id", path.alias("path"))
+    return df.select("page_id", "path", (ignored(list(IGNORE), F.col("path")) | in_excluded_directory(F.col("path"))).alias("ignored"))
+
+
+EXTENSIONS = [".py", ".java", ".CPP", ".h", ".txt", ".hxx", ""]
+
+
+@query(
+    "q04_extension_language",
+    f"""
+WITH p AS (SELECT doc_id, source || '/' || doc_id || {EXTENSIONS}[CAST(doc_id % 7 AS INTEGER) + 1] AS path, lower({EXTENSIONS}[CAST(doc_id % 7 AS INTEGER) + 1]) AS e FROM documents)
+SELECT doc_id, path, CASE e WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.cpp' THEN 'cpp' WHEN '.hxx' THEN 'cpp' WHEN '.h' THEN 'c' END AS language FROM p""",
+)
+def q04(spark, d):
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    df = T.read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"))
+    return df.withColumn("language", X.language_of(F.col("path")))
+
+
+# lines and structure
+
+
+@query("q05_line_metrics", f"WITH {S.METRICS} SELECT doc_id, totalLines AS total_lines, totalLines - blank AS code_lines FROM met")
+def q05(spark, d):
+    lines = X.lines(F.col("text"))
+    code = F.filter("lines", lambda x: X.trimmed(x) != "")
+    return T.documents(spark, d).select("doc_id", lines.alias("lines")).select("doc_id", big(F.size("lines")).alias("total_lines"), big(F.size(code)).alias("code_lines"))
+
+
+@query(
+    "q06_comment_density",
+    f"""
+WITH c AS (SELECT conv_id, turn, role, {S.lines("coalesce(text, '')")} AS l FROM conversations),
+n AS (SELECT conv_id, turn, CAST(len(l) AS BIGINT) AS total, CAST(len(list_filter(l, lambda x: {S.comment("x", "CASE WHEN role = 'user' THEN 'python' ELSE 'java' END")})) AS BIGINT) AS comments FROM c)
+SELECT conv_id, turn, comments, CASE WHEN total > 0 THEN comments / total ELSE 0.0 END AS density FROM n""",
+)
+def q06(spark, d):
+    language = F.when(F.col("role") == "user", "python").otherwise("java")
+    df = T.read(spark, d, "conversations").select("conv_id", "turn", language.alias("language"), X.lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    n = big(F.size(F.filter("lines", lambda x: X.pure_comment(x, F.col("language")))))
+    df = df.select("conv_id", "turn", n.alias("comments"), F.size("lines").alias("total"))
+    return df.select("conv_id", "turn", "comments", F.when(F.col("total") > 0, F.col("comments") / F.col("total")).otherwise(F.lit(0.0)).alias("density"))
+
+
+@query(
+    "q07_structure_counts",
+    """
+SELECT regexp_extract(coalesce(html, ''), '<html lang="([a-z]*)"', 1) AS language, CAST(count(*) AS BIGINT) AS files,
+  CAST(sum(len(regexp_extract_all(html, '<p[ >]'))) AS BIGINT) AS paragraphs, CAST(sum(len(regexp_extract_all(html, '<a[ >]'))) AS BIGINT) AS links,
+  CAST(sum(len(regexp_extract_all(html, '<(div|article|nav|footer)[ >]'))) AS BIGINT) AS sections
+FROM pages GROUP BY 1""",
+)
+def q07(spark, d):
+    count = lambda p: F.sum(F.regexp_count("html", F.lit(p))).cast("bigint")
+    df = T.read(spark, d, "pages").withColumn("language", F.regexp_extract(F.coalesce("html", F.lit("")), '<html lang="([a-z]*)"', 1))
+    return df.groupBy("language").agg(F.count("*").alias("files"), count("<p[ >]").alias("paragraphs"), count("<a[ >]").alias("links"), count("<(div|article|nav|footer)[ >]").alias("sections"))
+
+
+@query(
+    "q08_unit_spans",
+    f"""
+WITH c AS (SELECT conv_id, turn, role, CAST(len({S.lines("coalesce(text, '')")}) AS BIGINT) AS n FROM conversations),
+s AS (SELECT conv_id, turn, role, n, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS end_line FROM c)
+SELECT conv_id, turn, role, end_line - n + 1 AS start_line, end_line FROM s""",
+)
+def q08(spark, d):
+    df = T.read(spark, d, "conversations").select("conv_id", "turn", "role", big(F.size(X.lines(F.coalesce("text", F.lit(""))))).alias("n"))
+    end = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return df.withColumn("end_line", end).select("conv_id", "turn", "role", (F.col("end_line") - F.col("n") + 1).alias("start_line"), "end_line")
+
+
+@query(
+    "q09_complexity",
+    f"""SELECT doc_id, CAST(1 + len(list_filter({S.WORDS}, lambda w: list_contains({list(T.DECISIONS)}, w))) + len(regexp_extract_all(coalesce(text, ''), '&&|\\|\\|')) AS BIGINT) AS complexity FROM documents""",
+)
+def q09(spark, d):
+    decided = F.size(F.filter(T.words(F.col("text")), lambda w: w.isin(*T.DECISIONS)))
+    return T.documents(spark, d).select("doc_id", big(1 + decided + F.regexp_count("text", F.lit(r"&&|\|\|"))).alias("complexity"))
+
+
+@query(
+    "q10_nesting_depth",
+    """
+WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '</?(?:nav|ul|li|div|article|footer)[ >]') AS tags FROM pages),
+e AS (SELECT page_id, i, CASE WHEN starts_with(tags[i], '</') THEN -1 ELSE 1 END AS v FROM (SELECT page_id, tags, unnest(range(1, len(tags) + 1)) AS i FROM t)),
+r AS (SELECT page_id, sum(v) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM e)
+SELECT t.page_id, CAST(coalesce(max(depth), 0) AS BIGINT) AS nesting_depth FROM t LEFT JOIN r ON r.page_id = t.page_id GROUP BY t.page_id""",
+)
+def q10(spark, d):
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("</?(?:nav|ul|li|div|article|footer)[ >]"), F.lit(0))
+    state = F.struct(F.lit(0).alias("now"), F.lit(-(2**31)).alias("top"))
+
+    def step(s, tag):
+        now = s["now"] + F.when(tag.startswith("</"), -1).otherwise(1)
+        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
+
+    top = F.aggregate(tags, state, step, lambda s: s["top"])
+    return T.read(spark, d, "pages").select("page_id", big(F.when(F.size(tags) > 0, top).otherwise(F.lit(0))).alias("nesting_depth"))
+
+
+@query(
+    "q11_project_metrics",
+    f"""WITH {S.METRICS}
+SELECT project_key, CAST(sum(totalLines) AS BIGINT) AS "totalLines", CAST(sum(totalLines - blank - commentLines) AS BIGINT) AS ncloc, CAST(sum(commentLines) AS BIGINT) AS "commentLines",
+  CASE WHEN sum(totalLines) > 0 THEN sum(commentLines) / sum(totalLines) ELSE 0.0 END AS "commentDensity", CAST(count(*) AS BIGINT) AS "functionCount", CAST(0 AS BIGINT) AS "classCount",
+  sum(complexity) / count(*) AS "avgComplexity", CAST(max(complexity) AS BIGINT) AS "maxComplexity",
+  CAST(count(*) FILTER (complexity > 20) AS BIGINT) AS "overComplexFunctions", CAST(count(*) FILTER (totalLines > 150) AS BIGINT) AS "overLongFunctions", CAST(count(*) FILTER (nesting > 6) AS BIGINT) AS "deeplyNestedFunctions",
+  0.0 AS "cloneRate" FROM met GROUP BY project_key""",
+)
+def q11(spark, d):
+    return metrics.project_metrics(T.line_metrics(spark, d), spark.createDataFrame([], "project_key string, clone_rate double"), DEFAULT_PROFILE)
+
+
+@query(
+    "q12_threshold_counts",
+    r"""
+WITH c AS (SELECT conv_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS n, length(coalesce(text, '')) AS chars FROM conversations)
+SELECT conv_id, CAST(count(*) FILTER (n > 50) AS BIGINT) AS over_words, CAST(count(*) FILTER (chars > 400) AS BIGINT) AS over_chars FROM c GROUP BY conv_id""",
+)
+def q12(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    df = T.read(spark, d, "conversations").select("conv_id", F.size(T.words(text)).alias("n"), F.length(text).alias("chars"))
+    return df.groupBy("conv_id").agg(F.count_if(F.col("n") > 50).alias("over_words"), F.count_if(F.col("chars") > 400).alias("over_chars"))
+
+
+# clones
+
+
+@query(
+    "q13_token_classes",
+    r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^\p{L}'))) AS BIGINT) AS n_id, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^\p{N}'))) AS BIGINT) AS n_num,
+  CAST(len(list_filter(t, lambda x: NOT regexp_matches(x, '^[\p{L}\p{N}]'))) AS BIGINT) AS n_other FROM t""",
+)
+def q13(spark, d):
+    kind = lambda x: F.when(x.rlike(r"^\p{L}"), "identifier").when(x.rlike(r"^\p{N}"), "number").otherwise(x)
+    t = F.regexp_extract_all("text", F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"), F.lit(0))
+    df = T.documents(spark, d).select("doc_id", F.transform(t, lambda x: clones.token_value(kind(x))).alias("v"))
+    n = lambda f: big(F.size(F.filter("v", f)))
+    return df.select("doc_id", n(lambda x: x == "ID").alias("n_id"), n(lambda x: x == "NUM").alias("n_num"), n(lambda x: ~x.isin("ID", "NUM")).alias("n_other"))
+
+
+@query("q14_gram_hashes", f"WITH {S.GRAMS} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(min(h) AS BIGINT) AS low, CAST(max(h) AS BIGINT) AS high, CAST(sum(h) AS BIGINT) AS total FROM grams GROUP BY doc_id")
+def q14(spark, d):
+    total = F.aggregate("k_gram_hashes", F.lit(0).cast("bigint"), lambda s, h: s + h)
+    df = T.token_sets(spark, d).where(F.size("k_gram_hashes") > 0)
+    return df.select("doc_id", big(F.size("k_gram_hashes")).alias("n_grams"), F.array_min("k_gram_hashes").alias("low"), F.array_max("k_gram_hashes").alias("high"), total.alias("total"))
+
+
+@query("q15_minhash", f"WITH {S.GRAMS}, {S.SIGNATURE} SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY s) AS signature FROM sig GROUP BY doc_id")
+def q15(spark, d):
+    return T.signed_sets(spark, d).where(F.size("signature") > 0).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query("q16_bands", f"WITH {S.GRAMS}, {S.SIGNATURE}, {S.BANDS} SELECT file, band, band_key FROM bands")
+def q16(spark, d):
+    return clones.bands(T.signed_sets(spark, d), ["file"])
+
+
+@query(
+    "q17_lsh_candidates",
+    f"""WITH {S.GRAMS}, {S.SIGNATURE}, {S.BANDS},
+cls AS (SELECT project_key, file, min(file) OVER (PARTITION BY project_key, k) AS class_id FROM (SELECT project_key, file, list_sort(list(h)) AS k FROM grams GROUP BY ALL)),
+rep AS (SELECT bands.* FROM bands JOIN cls ON cls.project_key = bands.project_key AND cls.file = bands.file AND cls.class_id = cls.file)
+SELECT DISTINCT a.project_key, a.file AS id_a, b.file AS id_b FROM rep a JOIN rep b ON a.project_key = b.project_key AND a.band = b.band AND a.band_key = b.band_key AND a.file < b.file""",
+)
+def q17(spark, d):
+    sets = clones.classes(T.signed_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
+    return clones.lsh_pairs(sets.where("file = class_id"), ["project_key"], "file")
+
+
+CLASSES = "cls AS MATERIALIZED (SELECT project_key, file, min(file) OVER (PARTITION BY project_key, k) AS class_id FROM (SELECT project_key, file, list_sort(list(h)) AS k FROM grams GROUP BY ALL))"
+
+
+@query(
+    "q18_exact_pairs",
+    f"""WITH {S.GRAMS}, {S.PAIRS}, {CLASSES}
+SELECT good.project_key, file_a AS id_a, file_b AS id_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams FROM good
+SEMI JOIN (SELECT project_key, class_id FROM cls) x ON x.project_key = good.project_key AND x.class_id = file_a
+SEMI JOIN (SELECT project_key, class_id FROM cls) y ON y.project_key = good.project_key AND y.class_id = file_b""",
+)
+def q18(spark, d):
+    """Pairs between representatives of equal gram sets; q18_classes has the membership."""
+    sets = clones.classes(T.token_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
+    reps = sets.where("file = class_id")
+    pairs = clones.candidate_pairs(reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
+    return clones.verified(pairs, reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
+
+
+@query("q18_classes", f"WITH {S.GRAMS}, {CLASSES} SELECT project_key, file, class_id FROM cls")
+def q18_classes(spark, d):
+    return clones.classes(T.token_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes").select("project_key", "file", "class_id")
+
+
+def _top(spark, d):
+    sets = T.token_sets(spark, d).withColumn("signature", F.array().cast("array<bigint>"))
+    return clones.project_pairs(sets, 0.2, mode="exact")
+
+
+@query("q19_top_pairs", f"WITH {S.GRAMS}, {S.PAIRS}, {S.TOP} SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams, CAST(seq AS BIGINT) AS seq FROM top")
+def q19(spark, d):
+    return _top(spark, d).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
+
+
+HISTORY = """
+hmet AS (SELECT a.project_key, a.file AS file_a, b.project_key AS from_key, b.file AS from_file, count(*) AS m FROM grams a JOIN grams b ON a.h = b.h AND a.project_key <> b.project_key GROUP BY ALL),
+hsim AS (SELECT hmet.*, m / (x.n + y.n - m) AS jaccard FROM hmet JOIN cnt x ON x.project_key = hmet.project_key AND x.file = file_a JOIN cnt y ON y.project_key = from_key AND y.file = from_file),
+hist AS MATERIALIZED (SELECT project_key, file_a, 'history/' || from_key || '/' || from_file AS file_b, jaccard, m AS matching_k_grams, row_number() OVER (PARTITION BY project_key ORDER BY jaccard DESC, m DESC, file_a, from_key, from_file) AS seq FROM hsim WHERE jaccard >= 0.2)
+"""
+
+
+def _history(spark, d):
+    sets = T.token_sets(spark, d).withColumn("signature", F.array().cast("array<bigint>"))
+    return clones.history_pairs(sets, sets, 0.2, mode="exact")
+
+
+@query("q20_history_pairs", f"WITH {S.GRAMS}, {HISTORY} SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams, CAST(seq AS BIGINT) AS seq FROM hist WHERE seq <= 50")
+def q20(spark, d):
+    return _history(spark, d).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
+
+
+def _positions(spark, d):
+    """Tokens with their lines, per document."""
+    df = T.documents(spark, d).select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), X.lines(F.col("text")).alias("l"))
+    per = F.flatten(F.transform("l", lambda x, i: F.transform(T.words(x), lambda w: F.struct(w.alias("v"), (i + 1).alias("at")))))
+    df = df.select("project_key", "file", per.alias("t"))
+    return df.select("project_key", "file", F.transform("t", lambda x: x["v"]).alias("values"), F.transform("t", lambda x: x["at"]).alias("lines"))
+
+
+@query("q21_repeated_blocks")
+def q21(spark, d):
+    """Greedy and sequential within a document: tested against a plain version, no SQL."""
+    return blocks.block_pairs(_positions(spark, d))
+
+
+RATE = """
+whole AS (SELECT DISTINCT project_key, unnest([file_a, file_b]) AS file FROM top),
+rate AS (SELECT met.project_key, CASE WHEN sum(totalLines - blank - commentLines) > 0 THEN least(1.0, sum(CASE WHEN whole.file IS NOT NULL THEN totalLines - blank - commentLines ELSE 0 END) / sum(totalLines - blank - commentLines)) ELSE 0.0 END AS clone_rate
+  FROM met LEFT JOIN whole ON whole.project_key = met.project_key AND whole.file = met.file GROUP BY met.project_key)
+"""
+_M, _P = S.METRICS.replace("met0", "lm0").replace("met AS", "lm AS").replace("FROM met0", "FROM lm0"), S.PAIRS
+_RATE = RATE.replace("FROM met LEFT", "FROM lm LEFT").replace("met.", "lm.")
+RATES = f"WITH {S.GRAMS}, {_P}, {S.TOP}, {_M}, {_RATE}"
+
+
+def _rates(spark, d):
+    return clones.clone_rate(_top(spark, d), T.line_metrics(spark, d))
+
+
+@query("q22_clone_rate", f"{RATES} SELECT project_key, clone_rate FROM rate")
+def q22(spark, d):
+    return _rates(spark, d)
+
+
+# rules
+
+
+@query(
+    "q23_text_rules",
+    r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+SELECT doc_id, 'secret' AS rule_id FROM t WHERE regexp_matches(x, '(?i)(?:password|passwd|secret|token|api[_-]?key|credential)') AND regexp_matches(x, '["''][^"'']+["'']')
+UNION ALL SELECT doc_id, 'malloc' FROM t WHERE regexp_matches(x, '(?:^|[^A-Za-z0-9_])(?:the|die)\s+[a-z]') AND NOT regexp_matches(x, '(?:^|[^A-Za-z0-9_])free\s')
+UNION ALL SELECT doc_id, 'secret-assign' FROM t WHERE regexp_matches(x, '(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]')
+UNION ALL SELECT page_id, 'page-script' FROM pages WHERE regexp_matches(coalesce(html, ''), '<script[ >]')""",
+)
+def q23(spark, d):
+    x = F.col("text")
+    df = T.documents(spark, d)
+    tests = {"secret": x.rlike(rules.CREDENTIAL) & x.rlike(rules.QUOTED), "malloc": x.rlike(rf"{rules.LEFT}(?:the|die)\s+[a-z]") & ~x.rlike(rf"{rules.LEFT}free\s"), "secret-assign": x.rlike(r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]")}
+    hits = F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])
+    out = df.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("rule_id"))
+    page = T.read(spark, d, "pages").where(F.coalesce("html", F.lit("")).rlike("<script[ >]"))
+    return out.union(page.select(F.col("page_id").alias("doc_id"), F.lit("page-script").alias("rule_id")))
+
+
+@query(
+    "q24_metric_rules",
+    r"""
+WITH c AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations)
+SELECT conv_id, turn, 'long' AS rule_id, 'The turn is too long: ' || len(w) AS message FROM c WHERE len(w) > 100
+UNION ALL SELECT conv_id, turn, 'many', 'The turn has too many words: ' || len(list_distinct(w)) FROM c WHERE len(list_distinct(w)) > 60""",
+)
+def q24(spark, d):
+    df = T.read(spark, d, "conversations").select("conv_id", "turn", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    n, k = F.size("w"), F.size(F.array_distinct("w"))
+    row = lambda rule, text, v: F.struct(F.lit(rule).alias("rule_id"), F.concat(F.lit(text), v.cast("string")).alias("message"))
+    hits = F.array(F.when(n > 100, row("long", "The turn is too long: ", n)), F.when(k > 60, row("many", "The turn has too many words: ", k)))
+    return df.select("conv_id", "turn", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("conv_id", "turn", "h.*")
+
+
+FINDING_COLUMNS = 'project_key, id, ruleId, severity, type, file, line, "column", message, snippet'
+
+
+def _findings(spark, d):
+    return rules.distinct_findings(T.line_findings(spark, d))
+
+
+@query("q25_finding_dedupe", f"WITH {S.FOUND} SELECT {FINDING_COLUMNS} FROM finding")
+def q25(spark, d):
+    return _findings(spark, d)
+
+
+@query("q26_sorted_findings", f'WITH {S.FOUND} SELECT file, line, "column", ruleId, snippet FROM finding ORDER BY file, line, "column", ruleId')
+def q26(spark, d):
+    return rules.sort_findings(_findings(spark, d)).select("file", "line", "column", "ruleId", "snippet")
+
+
+@query("q27_by_severity", f"WITH {S.FOUND} SELECT project_key, severity, CAST(count(*) AS BIGINT) AS n FROM finding GROUP BY ALL")
+def q27(spark, d):
+    return scoring.findings_by_severity(_findings(spark, d)).select("project_key", "severity", "n")
+
+
+def _deductions(spark, d, profile):
+    files = T.line_metrics(spark, d)
+    projects = metrics.project_metrics(files, _rates(spark, d), profile)
+    return scoring.deductions(projects, files, _findings(spark, d), profile)
+
+
+def _deduction_sql(penalties: str, complexity: tuple | None, length: tuple | None, nesting: tuple | None, rate: tuple | None) -> str:
+    parts = [f"SELECT project_key, 'finding' AS category, severity || ' findings' AS label, CAST(count(*) AS BIGINT) AS n, count(*) * {penalties} AS points FROM finding GROUP BY project_key, severity"]
+    for rule, column, label in ((complexity, "complexity", "Functions over the complexity limit"), (length, "totalLines", "Functions over the length limit"), (nesting, "nesting", "Functions over the nesting limit")):
+        if rule:
+            parts.append(f"SELECT project_key, 'metric', '{label}', CAST(count(*) FILTER ({column} > {rule[0]}) AS BIGINT), count(*) FILTER ({column} > {rule[0]}) * {rule[1]} FROM lm GROUP BY project_key")
+    if rate:
+        parts.append(f"SELECT project_key, 'metric', 'Clone rate over the limit', NULL, greatest(0.0, clone_rate - {rate[0]}) * {rate[1]} FROM rate")
+    return f"{RATES}, {S.FOUND}, ded AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE points > 0), tot AS (SELECT rate.project_key, greatest(0.0, least(100.0, 100.0 - coalesce(sum(points), 0.0))) AS score FROM rate LEFT JOIN ded ON ded.project_key = rate.project_key GROUP BY rate.project_key)"
+
+
+PENALTY = "CASE severity WHEN 'BLOCKER' THEN 5.0::DOUBLE WHEN 'CRITICAL' THEN 3.0::DOUBLE WHEN 'MAJOR' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"
+DEFAULT_SQL = _deduction_sql(PENALTY, (20, "1.0::DOUBLE"), (150, "0.5::DOUBLE"), (6, "0.5::DOUBLE"), ("0.2::DOUBLE", "10.0::DOUBLE"))
+CUSTOM = CustomProfile(finding_penalties={"MINOR": 0.25}, metric_rules={"maxComplexity": MetricRule(100, 2), "cloneRate": MetricRule(0.1, 4)}, pass_score=75)
+CUSTOM_SQL = _deduction_sql(PENALTY.replace("0.5::DOUBLE", "0.25::DOUBLE"), (100, "2.0::DOUBLE"), None, None, ("0.1::DOUBLE", "4.0::DOUBLE"))
+
+
+@query("q28_deductions", f"{DEFAULT_SQL} SELECT project_key, category, label, coalesce(n, 0) AS n, round(points, 6) AS points FROM ded")
+def q28(spark, d):
+    df = _deductions(spark, d, DEFAULT_PROFILE).select("project_key", F.explode("deductions").alias("x"))
+    return df.select("project_key", "x.category", "x.label", F.coalesce("x.count", F.lit(0)).alias("n"), F.round("x.points", 6).alias("points"))
+
+
+@query("q29_score_gate", f"{DEFAULT_SQL} SELECT project_key, round(score, 6) AS score, score >= 60 AS passed, CAST(CASE WHEN score >= 60 THEN 0 ELSE 1 + (SELECT count(*) FROM ded WHERE ded.project_key = tot.project_key) END AS BIGINT) AS n_reasons FROM tot")
+def q29(spark, d):
+    df = scoring.gate(_deductions(spark, d, DEFAULT_PROFILE), DEFAULT_PROFILE)
+    return df.select("project_key", F.round("score", 6).alias("score"), "passed", big(F.size("failure_reasons")).alias("n_reasons"))
+
+
+@query("q30_custom_score", f"{CUSTOM_SQL} SELECT project_key, 'custom' AS profile_id, round(score, 6) AS score, 75.0::DOUBLE AS pass_score, score >= 75 AS passed FROM tot")
+def q30(spark, d):
+    profile = CUSTOM.profile()
+    df = scoring.gate(_deductions(spark, d, profile), profile)
+    return df.select("project_key", "profile_id", F.round("score", 6).alias("score"), "pass_score", "passed")
+
+
+# store
+
+
+def _stored(spark, d):
+    df = T.documents(spark, d)
+    return df.select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), F.col("lang").alias("language"), F.length("text").cast("bigint").alias("ncloc"))
+
+
+@query(
+    "q31_store_upsert",
+    f"""
+WITH s AS (SELECT source AS project_key, {S.FILE} AS file, lang AS language, CAST(length(coalesce(text, '')) AS BIGINT) AS ncloc FROM documents),
+fresh AS (SELECT project_key, file || '-new' AS file, language, ncloc + 1 AS ncloc FROM s WHERE project_key IN ('src1', 'src2'))
+SELECT * FROM s WHERE project_key NOT IN ('src1', 'src2', 'src3') UNION ALL SELECT * FROM fresh""",
+)
+def q31(spark, d):
+    """Two projects are replaced; a third, that is saved without files, is emptied."""
+    stored = _stored(spark, d)
+    fresh = stored.where(F.col("project_key").isin("src1", "src2")).withColumns({"file": F.concat("file", F.lit("-new")), "ncloc": F.col("ncloc") + 1})
+    return store.replaced(stored, fresh, spark.createDataFrame([("src1",), ("src2",), ("src3",)], "project_key string"))
+
+
+@query(
+    "q32_store_load",
+    f"""
+WITH p AS (SELECT source AS project_key, max(doc_id) AS updated FROM documents GROUP BY source),
+f AS (SELECT source AS project_key, {S.FILE} AS file, n_chars FROM documents),
+e AS (SELECT event_type, CAST(count(*) AS BIGINT) AS n_props FROM events WHERE props IS NOT NULL AND json_valid(props) GROUP BY event_type)
+SELECT p.project_key, CAST(updated AS BIGINT) AS updated, file, CAST(n_chars AS BIGINT) AS n_chars, CAST((SELECT sum(n_props) FROM e) AS BIGINT) AS n_props FROM f JOIN p ON p.project_key = f.project_key ORDER BY p.project_key, file""",
+)
+def q32(spark, d):
+    docs = T.documents(spark, d)
+    projects = docs.groupBy(F.col("source").alias("project_key")).agg(F.max("doc_id").alias("updated"))
+    files = docs.select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), big(F.col("n_chars")).alias("n_chars"))
+    valid = F.from_json("props", "map<string,string>").isNotNull()
+    n = T.read(spark, d, "events").agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("n"))
+    return files.join(projects, "project_key").withColumn("n_props", F.lit(n.first()["n"]).cast("bigint")).select("project_key", "updated", "file", "n_chars", "n_props").orderBy("project_key", "file")
+
+
+@query(
+    "q33_legacy_import",
+    f"""
+WITH s AS (SELECT source AS project_key, {S.FILE} AS file, lang AS language, CAST(n_chars AS BIGINT) AS ncloc, doc_id FROM documents)
+SELECT project_key, file, language, ncloc, CAST(1 AS BIGINT) AS n_hashes FROM s WHERE doc_id % 3 <> 0 AND project_key NOT IN ('src0', 'src4')""",
+)
+def q33(spark, d):
+    """Legacy documents, one per file; every third has no hashes and is dropped, two projects are there already."""
+    docs = T.documents(spark, d)
+    hashes = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(FNV_OFFSET)))
+    file = F.struct(T.file_name(F.col("doc_id")).alias("file"), F.col("lang").alias("language"), F.lit(1).alias("tokenCount"), hashes.alias("kGramHashes"), F.array(F.lit(1)).alias("signature"), F.col("n_chars").alias("ncloc"))
+    project = F.struct(F.col("source").alias("projectKey"), F.lit("2024-01-01T00:00:00Z").alias("updatedAt"), F.array(file).alias("files"))
+    legacy = docs.select(F.to_json(F.struct(F.lit(1).alias("version"), F.create_map(F.col("source"), project).alias("projects"))).alias("value"))
+    present = spark.createDataFrame([("src0",), ("src4",)], "project_key string")
+    rows = store.legacy_rows(legacy).join(present, "project_key", "left_anti")
+    return rows.select("project_key", "file", "language", "ncloc", big(F.size("k_gram_hashes")).alias("n_hashes"))
+
+
+# views and report
+
+
+@query("q34_findings_filter", f"WITH {S.FOUND} SELECT project_key, file, line, ruleId, message FROM finding WHERE severity = 'MAJOR' AND lang = 'en' AND contains(lower(ruleId || ' ' || file || ' ' || message), 'signs d')")
+def q34(spark, d):
+    files = T.documents(spark, d).select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), F.col("lang").alias("language"))
+    return views.filter_findings(_findings(spark, d), files, severity="MAJOR", language="en", text="Signs d").select("project_key", "file", "line", "ruleId", "message")
+
+
+@query("q35_pagination", "SELECT doc_id, source, CAST((SELECT greatest(1, ceil(count(*) / 10)) FROM documents) AS BIGINT) AS pages FROM documents ORDER BY doc_id LIMIT 10 OFFSET 20")
+def q35(spark, d):
+    docs = T.read(spark, d, "documents")
+    pages = docs.agg(views.page_count(F.count("*")).alias("n")).first()["n"]
+    return views.page(docs.select("doc_id", "source"), 3, F.col("doc_id")).withColumn("pages", F.lit(pages).cast("bigint"))
+
+
+@query("q36_distinct_files", f"WITH {S.FOUND} SELECT DISTINCT file FROM finding ORDER BY file")
+def q36(spark, d):
+    return views.distinct_files(_findings(spark, d))
+
+
+@query("q37_report_json")
+def q37(spark, d):
+    files = T.line_metrics(spark, d)
+    projects = metrics.project_metrics(files, _rates(spark, d), DEFAULT_PROFILE)
+    found = _findings(spark, d)
+    scores = scoring.score_projects(projects, files, found, DEFAULT_PROFILE)
+    return json_rows(projects, files.drop("doc_id"), found, _top(spark, d), scores)
+
+
+@query(
+    "q38_formats",
+    """
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(h, '<title>([^<]*)', 1) || '<' || u || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+  CASE WHEN length(h) % 2 = 0 THEN u || ':' || length(h) || '-' || (length(h) + 1) ELSE u END AS location, regexp_replace(regexp_replace(u, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file_name FROM p""",
+)
+def q38(spark, d):
+    h, u = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    n = F.length(h)
+    text = F.concat(F.regexp_extract(h, "<title>([^<]*)", 1), F.lit("<"), u, F.lit(">"))
+    return T.read(spark, d, "pages").select("page_id", X.escape_html(text).alias("escaped"), X.location(u, F.when(n % 2 == 0, n), n + 1).alias("location"), X.report_name(u).alias("file_name"))
+
+
+@query("q38_numbers")
+def q38_numbers(spark, d):
+    """Grouped numbers and percents; checked against a plain version in the tests."""
+    df = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.number(F.col("l_extendedprice"), 2).alias("price"), X.number(F.col("l_quantity")).alias("quantity"), X.percent(F.col("l_discount")).alias("discount"))
+    return df
+
+
+@query(
+    "q39_language_rules",
+    "WITH n AS (SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'java' WHEN 'fr' THEN 'c' ELSE 'cpp' END AS language, count(*) AS files FROM documents GROUP BY 1), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{r.rule_id}', '{r.severity}', '{r.language}')" for r in rules.all_rules())
+    + ") t(rule_id, severity, language)) SELECT r.language, rule_id, severity, CAST(files AS BIGINT) AS files FROM n JOIN r ON r.language = n.language",
+)
+def q39(spark, d):
+    language = F.when(F.col("lang") == "en", "python").when(F.col("lang") == "de", "java").when(F.col("lang") == "fr", "c").otherwise("cpp")
+    n = T.read(spark, d, "documents").groupBy(language.alias("language")).agg(F.count("*").alias("files"))
+    return rules.catalogue(spark).join(n, "language").select("language", "rule_id", "severity", "files")
+
+
+@query(
+    "q40_lsh_recall",
+    f"""WITH {S.GRAMS}, {S.PAIRS}, {S.SIGNATURE}, {S.BANDS}, {S.LSH}, {CLASSES},
+g AS (SELECT good.* FROM good SEMI JOIN cls x ON x.project_key = good.project_key AND x.class_id = file_a SEMI JOIN cls y ON y.project_key = good.project_key AND y.class_id = file_b)
+SELECT CAST(floor(jaccard * 10 + 1e-9) AS BIGINT) AS tenth, CAST(count(*) AS BIGINT) AS pairs, CAST(count(lsh.file_a) AS BIGINT) AS found
+FROM g LEFT JOIN lsh ON lsh.project_key = g.project_key AND lsh.file_a = g.file_a AND lsh.file_b = g.file_b GROUP BY 1""",
+)
+def q40(spark, d):
+    sets = clones.classes(T.signed_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
+    reps = sets.where("file = class_id")
+    exact = clones.verified(clones.candidate_pairs(reps, ["project_key"], "class_id", "k_gram_hashes", 0.2), reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
+    lsh = clones.lsh_pairs(reps, ["project_key"], "file").withColumn("hit", F.lit(1))
+    both = exact.join(lsh, ["project_key", "id_a", "id_b"], "left")
+    return both.groupBy(big(F.floor(F.col("jaccard") * 10 + 1e-9)).alias("tenth")).agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+
+
+@query(
+    "q41_merged_pairs",
+    f"""WITH {S.GRAMS}, {S.PAIRS}, {S.TOP}, {HISTORY},
+u AS (SELECT project_key, file_a, file_b, jaccard, matching_k_grams, 1 AS source_ord, seq FROM top UNION ALL SELECT project_key, file_a, file_b, jaccard, matching_k_grams, 2, seq FROM hist WHERE seq <= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY jaccard DESC, matching_k_grams DESC, source_ord, seq) AS k FROM u)
+SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams, CAST(k AS BIGINT) AS seq FROM r WHERE k <= 50""",
+)
+def q41(spark, d):
+    """File pairs of both kinds in the report's order; blocks (q21) come after all file pairs."""
+    own, old = _top(spark, d), _history(spark, d)
+    none = own.limit(0)
+    return clones.merged_pairs(none, own, old).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))

@@ -20,11 +20,14 @@ def lines(content: Column) -> Column:
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(cut)
 
 
+def is_blank(line: Column) -> Column:
+    return line.rlike(f"^{BLANK}*$")
+
+
 def pure_comment(line: Column, language: Column) -> Column:
-    """Whether a line holds nothing but a comment, by how it begins (or ends)."""
-    t = trimmed(line)
-    brace = t.startswith("//") | t.startswith("/*") | t.startswith("*") | t.endswith("*/")
-    return F.when(language == "python", t.startswith("#")).otherwise(brace)
+    """Whether a line holds nothing but a comment, by how it begins (or ends) without white space."""
+    brace = line.rlike(rf"^{BLANK}*(?://|/\*|\*)|\*/{BLANK}*$")
+    return F.when(language == "python", line.rlike(f"^{BLANK}*#")).otherwise(brace)
 
 
 def language_of(path: Column) -> Column:

@@ -35,8 +35,8 @@ def tokens() -> Column:
     return F.filter(made, lambda x: x["value"].isNotNull())
 
 
-def gram_hash_arrays(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
-    """Distinct FNV-1a hashes of each list's grams, in order of first appearance; all grams advance together in numpy."""
+def all_gram_hashes(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
+    """FNV-1a hashes of each list's grams in order; all grams advance together in numpy."""
     units, starts, ends, counts, at = [], [], [], [], 0
     for tokens_ in token_lists:
         own = np.frombuffer(SEPARATOR.join(tokens_).encode("utf-16-le", "surrogatepass"), "<u2")
@@ -60,8 +60,12 @@ def gram_hash_arrays(token_lists: list[list[str]], k: int = GRAM) -> list[np.nda
         h[:n] = ((h[:n] ^ text[begin[:n] + step]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
     out = np.empty(len(h), np.int64)
     out[order] = h.astype(np.int64)
-    parts = np.split(out, np.cumsum(counts)[:-1])
-    return [p[np.sort(np.unique(p, return_index=True)[1])] for p in parts]
+    return np.split(out, np.cumsum(counts)[:-1])
+
+
+def gram_hash_arrays(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
+    """Distinct hashes of each list's grams, in order of first appearance."""
+    return [p[np.sort(np.unique(p, return_index=True)[1])] for p in all_gram_hashes(token_lists, k)]
 
 
 def _mapped(df: DataFrame, column: str, out: str, work, rows: int = 512) -> DataFrame:

@@ -81,7 +81,7 @@ def file_metrics(parsed: DataFrame) -> DataFrame:
     comments = F.filter("nodes", lambda n: F.array_contains(F.col("_comment"), n["type"]))
     rows = F.array_distinct(F.flatten(F.transform(comments, lambda n: F.sequence(n["start_row"], n["end_row"]))))
     df = df.withColumn("_rows", rows)
-    code = F.filter("_lines", lambda line, i: (X.trimmed(line) != "") & ~(F.array_contains(F.col("_rows"), i) & X.pure_comment(line, F.col("language"))))
+    code = F.filter("_lines", lambda line, i: ~X.is_blank(line) & ~(F.array_contains(F.col("_rows"), i) & X.pure_comment(line, F.col("language"))))
     count = lambda kind: _size(F.filter("nodes", lambda n: n["named"] & F.array_contains(F.col(f"_{kind}"), n["type"])))
     total, commented = _size(F.col("_lines")), _size(F.col("_rows"))
     return df.select(

@@ -103,7 +103,7 @@ def q04(spark, d):
 @query("q05_line_metrics", f"WITH {S.METRICS} SELECT doc_id, totalLines AS total_lines, totalLines - blank AS code_lines FROM met")
 def q05(spark, d):
     lines = X.lines(F.col("text"))
-    code = F.filter("lines", lambda x: X.trimmed(x) != "")
+    code = F.filter("lines", lambda x: ~X.is_blank(x))
     return T.documents(spark, d).select("doc_id", lines.alias("lines")).select("doc_id", big(F.size("lines")).alias("total_lines"), big(F.size(code)).alias("code_lines"))
 
 

@@ -62,7 +62,7 @@ def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = documents(spark, sf_dir).select("doc_id", F.col("source").alias("project_key"), file_name(F.col("doc_id")).alias("file"), language.alias("language"), lines.alias("lines"), t.alias("t"), F.length("text").alias("n"))
     decided = F.size(F.filter("t", lambda w: w.isin(*DECISIONS)))
     comments = F.size(F.filter("lines", lambda x: X.pure_comment(x, F.col("language")))).cast("bigint")
-    blank = F.size(F.filter("lines", lambda x: X.trimmed(x) == "")).cast("bigint")
+    blank = F.size(F.filter("lines", X.is_blank)).cast("bigint")
     total = F.size("lines").cast("bigint")
     fn = F.struct(F.lit("body").alias("name"), F.lit(1).alias("startLine"), total.alias("endLine"), (1 + decided).alias("complexity"), total.alias("lines"), F.floor(F.col("n") / 1000).alias("nestingDepth"), F.lit(0).alias("paramCount"))
     return df.select("project_key", "doc_id", "file", "language", total.alias("totalLines"), (total - blank - comments).alias("ncloc"), comments.alias("commentLines"), F.lit(0).cast("bigint").alias("classCount"), F.array(fn).cast(FUNCTION_TYPE).alias("functions"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import clones
 from ..operators.metrics import FUNCTION_TYPE
+from ..session import materialize
 
 DECISIONS = ("if", "for", "while", "and", "or", "the", "de", "die")
 #: rule, severity, type, pattern of a line (no look-around, so that SQL engines agree), in the order they are found
@@ -38,13 +39,16 @@ def words(text: Column) -> Column:
 
 
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_key, doc_id, file, k_gram_hashes): distinct hashes of 12-word grams."""
+    """(project_key, doc_id, file, k_gram_hashes): distinct hashes of 12-word grams.
+
+    Pair queries need them in several branches, so they are hashed once and written.
+    """
     df = documents(spark, sf_dir).select(F.col("source").alias("project_key"), "doc_id", file_name(F.col("doc_id")).alias("file"), words(F.col("text")).alias("t"))
-    return clones.with_gram_hashes(df, "t")
+    return materialize(clones.with_gram_hashes(df, "t"), "grams")
 
 
 def signed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.minhash(token_sets(spark, sf_dir))
+    return materialize(clones.minhash(token_sets(spark, sf_dir)), "signatures")
 
 
 def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,15 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 LEAF = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "figcaption", "caption", "summary", "address"}
 #: Words in class, id or role that mark a part as no article text.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promoted", "promotion", "banner", "sidebar", "side", "widget", "widgets", "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "toast", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead", "topbar", "toolbar", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "skip", "contentinfo", "complementary", "advertorial", "outbrain", "taboola", "paywall", "toc", "tags", "legal", "copyright", "disclaimer"}
+#: Words beside a mark in the same name that make it a state of what holds it: ``has-sidebar``, ``comments-open``.
+BEFORE, AFTER = {"has", "with", "without", "no", "not", "non"}, {"open", "closed", "enabled", "disabled"}
+#: The marks that count for an ``article`` too: comments and adverts are often set as one.
+ARTICLE_MARKS = {"comment", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 #: Elements that an implied end tag does not reach across.
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"table", "td", "th", "caption", "button", "object"}}
 TABLE = {"table"}
+TOP = {"html", "body", "main"}
 
 
 @dataclass(slots=True)
@@ -58,13 +63,15 @@ class Block:
     linked: int = 0
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: set[str]) -> bool:
     if not attributes or attributes.isspace():
         return False
     for m in NAMES.finditer(attributes):
-        for word in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()):
-            if word in MARKS:
-                return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            for i, word in enumerate(words):
+                if word in marks and not BEFORE.intersection(words[:i]) and not AFTER.intersection(words[i + 1 :]):
+                    return True
     return bool(HIDDEN.search(attributes))
 
 
@@ -137,8 +144,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
         elif tag in BLOCK:
             _imply(elements, stack, {"p"}, SCOPE["p"])
         up = elements[stack[-1]]
-        top = tag in ("html", "body", "main", "article")
-        junk = up.junk or tag in JUNK or (not top and _marked(attributes))
+        junk = up.junk or tag in JUNK or (tag not in TOP and _marked(attributes, ARTICLE_MARKS if tag == "article" else MARKS))
         elements.append(Element(tag, stack[-1], junk, up.link or tag == "a"))
         if not attributes.endswith("/") or tag in BLOCK or tag == "a":
             stack.append(len(elements) - 1)

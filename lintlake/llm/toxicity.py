@@ -74,10 +74,12 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, penalty: float = 0.02, least: int = 4) -> tuple[dict[str, float], float]:
-    """Weights of words and the bias: gradient steps on the noisy-or likelihood, classes weighted alike.
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, rate: float = 0.1, penalty: float = 1e-4, least: int = 4, screen: int = 200) -> tuple[dict[str, float], float]:
+    """Weights of words and the bias: proximal gradient steps on the noisy-or likelihood, classes weighted alike.
 
-    Features that occur in fewer than ``least`` texts have no weight.
+    Each step draws weights towards zero by ``penalty`` (an absolute-value penalty), so words that tell nothing get no
+    weight at all and do not add up over the many sentences of a long document. Features that occur in fewer than
+    ``least`` texts, or have no weight after ``screen`` rounds, are left out.
     """
     seen: dict[str, int] = {}
     for text in texts:
@@ -100,10 +102,18 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0
         any_ = np.clip(-np.expm1(-miss), 1e-6, 1 - 1e-9)
         slope = np.where(y > 0.5, -(1 - any_) / any_, 1.0) * weight
         g_sentence = slope[doc] * p
-        grad = np.bincount(words, g_sentence[sentence], len(theta)) + penalty * np.sign(theta) / max(1, len(y)) ** 0.5
+        grad = np.bincount(words, g_sentence[sentence], len(theta))
         grad[0] = g_sentence.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        scale = np.sqrt(v / (1 - 0.999**step)) + 1e-8
+        theta -= rate * (m / (1 - 0.9**step)) / scale
+        drawn = rate * penalty / scale
+        drawn[0] = 0.0
+        theta = np.sign(theta) * np.maximum(np.abs(theta) - drawn, 0.0)
+        if step == screen:
+            kept = (theta != 0)[words]
+            words, sentence = words[kept], sentence[kept]
+            sizes = np.bincount(sentence, minlength=len(sizes))
     return {w: float(theta[i]) for w, i in vocabulary.items() if abs(theta[i]) > 1e-3}, float(theta[0])
 
 

@@ -226,6 +226,27 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_names():
+    main = "<p>One long paragraph, with words, commas and more of the same, so that it counts.</p>"
+    text = html_extract.main_text(main)
+    assert html_extract.main_text(f"<div class='wrap has-sidebar'><div class=comments-open>{main}</div><div class=sidebar-left><p>a, b, c</p></div></div>") == text
+    assert html_extract.main_text(f"<main><article>{main}</article><article class=comment><p>first, nice, thanks</p></article></main>") == text
+    assert html_extract.main_text(f"<div class=advert>{main}</div>") == ""
+
+
+def test_toxicity_long_clean_texts():
+    """Sentences that tell nothing do not add up: a long clean text scores low, and high with one toxic sentence."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    words = [f"word{i:03}" for i in range(300)]
+    sentence = lambda: " ".join(rng.choice(words, 8))
+    text = lambda n, toxic: ". ".join([*(sentence() for _ in range(n)), *(["you are vile indeed"] if toxic else [])])
+    y = np.arange(120) % 2
+    model = toxicity.fit([text(12, t) for t in y], y)
+    assert list(toxicity.Scorer(model).scores([text(2000, False), text(2000, True)]) > np.array([0.5, 0.5])) == [False, True]
+
+
 def test_warc(spark, tmp_path):
     rows = [(5, "http://a/x?q", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://b", ""), (9, "http://c\r\nX: y", "z" * 3_000_000), (7, "u", "one"), (7, "u", "one"), (None, "u", "one"), (None, "v", "alone")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, type string")

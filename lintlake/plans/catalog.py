@@ -185,7 +185,7 @@ SELECT project_key, CAST(sum(totalLines) AS BIGINT) AS "totalLines", CAST(sum(to
   CASE WHEN sum(totalLines) > 0 THEN sum(commentLines) / sum(totalLines) ELSE 0.0 END AS "commentDensity", CAST(count(*) AS BIGINT) AS "functionCount", CAST(0 AS BIGINT) AS "classCount",
   sum(complexity) / count(*) AS "avgComplexity", CAST(max(complexity) AS BIGINT) AS "maxComplexity",
   CAST(count(*) FILTER (complexity > 20) AS BIGINT) AS "overComplexFunctions", CAST(count(*) FILTER (totalLines > 150) AS BIGINT) AS "overLongFunctions", CAST(count(*) FILTER (nesting > 6) AS BIGINT) AS "deeplyNestedFunctions",
-  0.0 AS "cloneRate" FROM met GROUP BY project_key""",
+  CAST(0 AS DOUBLE) AS "cloneRate" FROM met GROUP BY project_key""",
 )
 def q11(spark, d):
     return metrics.project_metrics(T.line_metrics(spark, d), spark.createDataFrame([], "project_key string, clone_rate double"), DEFAULT_PROFILE)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +38,25 @@ class PieceCounts:
         self.tokenizer.no_padding()
         self.known, self.most = {}, known
 
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+    def learn(self, new: list[bytes]) -> dict[bytes, int]:
+        """Pieces of each of ``new``; what the bound allows of them is kept for later blocks."""
+        learnt: dict[bytes, int] = {}
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, map(len, got), strict=True))
+            learnt.update(zip(part, map(len, got), strict=True))
+        if len(self.known) + len(learnt) > self.most:
+            self.known.clear()
+        self.known.update(islice(learnt.items(), self.most))
+        return learnt
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
         raw = [(t or "").encode("utf-8") for t in texts]
         frequencies = [Counter(r.split()) for r in raw]
         distinct = set().union(*frequencies)
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(new)
-            if any(w not in self.known for w in distinct):  # cleared meanwhile
-                self.learn([w for w in distinct if w not in self.known])
-        pieces = self.known
+        pieces = {w: self.known[w] for w in distinct if w in self.known}  # the block's own: complete whatever the bound
+        pieces |= self.learn([w for w in distinct if w not in pieces])
         sums = [sum([n * pieces[w] for w, n in f.items()]) for f in frequencies]
         return np.fromiter(map(len, raw), np.int64, len(raw)), np.array(sums, np.int64)
 

@@ -144,6 +144,14 @@ def test_token_counts(docs, none):
     assert counts.count(texts)[1].tolist() == want
 
 
+def test_token_counts_beyond_the_dictionary():
+    """A block with more pre-tokens than the dictionary holds, some of them known from the block before."""
+    counts = token_counts.PieceCounts(tokenizer_path("word_bpe_49k.json"), known=3)
+    for texts in (["one two"], ["one two three four five six", "six 17 one"], ["six seven", None, ""]):
+        want = [len(counts.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert counts.count(texts)[1].tolist() == want and len(counts.known) <= 3
+
+
 def test_secrets(docs, none):
     rows = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
     assert rows[7]["spans"] == "assign:0:17,access:22:42,hex:45:75" and rows[0]["spans"] == "" == rows[None]["spans"]

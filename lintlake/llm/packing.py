@@ -24,7 +24,8 @@ class Encoder:
 
     For a byte-level BPE whose merges are in the order of their ids, texts of code points below U+0250 without special
     strings go through tiktoken with ranks read from the same file; any other text, and any other kind of file, goes
-    through the library itself, so ids never depend on how the two differ in Unicode tables or special strings.
+    through the library itself, so ids never depend on how the two differ in Unicode tables or special strings. So does
+    a text that the fast engine refuses: its pattern backtracks over white space, and a very long run exceeds its stack.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,9 +65,12 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if self.ranks is None or self.odd.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.asarray(self.ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        if self.ranks is not None and not self.odd.search(text):
+            try:
+                return np.asarray(self.ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+            except ValueError:  # too long a run for its regular expressions
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:

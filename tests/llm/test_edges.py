@@ -325,6 +325,15 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_packing_long_blank_runs(blank):
+    encoder = packing.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    assert encoder.ranks is not None
+    text = "one" + blank * 1_200_000 + "two three"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 16), st.integers(1, 9), max_size=8))
 def test_plan(histogram):

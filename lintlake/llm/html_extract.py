@@ -3,7 +3,8 @@
 A tolerant tokenizer builds a tree of elements and blocks of text. Each paragraph gives points for its length and commas
 to its parent, half of them to the parent's parent and less to those above; an element's score is discounted by the
 share of its text that is in links. The best container is kept with those of its siblings that also hold content, and
-from it all blocks outside menus, adverts, forms, comments and the like, in page order.
+from it all blocks outside menus, adverts, forms, comments and the like, in page order. A mark that is one word of a
+longer name (``side-effects``) drops nothing within the container, and lists of links stay within an article.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import with_arrow
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
 #: The same for a tag with ``>`` inside a quoted attribute.
 QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Elements whose content is no markup: it ends at their own end tag only.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -38,6 +39,9 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spon
 BEFORE, AFTER = {"has", "with", "without", "no", "not", "non"}, {"open", "closed", "enabled", "disabled"}
 #: The marks that count for an ``article`` too: comments and adverts are often set as one.
 ARTICLE_MARKS = {"comment", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted"}
+#: Words of layout: a name of marks and these only is a mark (``comment-list``, ``sidebar-left``); any other word makes it a slug.
+LAYOUT = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "div", "entry", "form", "group", "holder", "icon", "icons", "inner", "item", "items", "layer", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 #: Elements that an implied end tag does not reach across.
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"table", "td", "th", "caption", "button", "object"}}
@@ -51,6 +55,8 @@ class Element:
     parent: int
     junk: bool
     link: bool
+    slug: bool = False  # in a part with a mark in a longer name: article text only within the article
+    article: bool = False  # in an ``article`` or ``main``, or one itself
     points: float = 0.0
     chars: int = 0
     linked: int = 0
@@ -63,16 +69,28 @@ class Block:
     linked: int = 0
 
 
-def _marked(attributes: str, marks: set[str]) -> bool:
+def _marked(attributes: str, tag: str) -> int:
+    """2 if the names mark an element as no article text, 1 if a mark is one word of a longer slug, else 0.
+
+    The id of a heading or paragraph is an anchor and marks nothing; of a heading's other names only adverts and
+    comments count.
+    """
     if not attributes or attributes.isspace():
-        return False
+        return 0
+    if HIDDEN.search(attributes):
+        return 2
+    found, marks = 0, ARTICLE_MARKS if tag == "article" or tag in HEADINGS else MARKS
     for m in NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if m[1].lower() == "id" and (tag == "p" or tag in HEADINGS):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
             for i, word in enumerate(words):
                 if word in marks and not BEFORE.intersection(words[:i]) and not AFTER.intersection(words[i + 1 :]):
-                    return True
-    return bool(HIDDEN.search(attributes))
+                    if all(w in MARKS or w in LAYOUT or w[0].isdigit() for w in words):
+                        return 2
+                    found = 1
+    return found
 
 
 def parse(html: str) -> tuple[list[Element], list[Block]]:
@@ -144,8 +162,10 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
         elif tag in BLOCK:
             _imply(elements, stack, {"p"}, SCOPE["p"])
         up = elements[stack[-1]]
-        junk = up.junk or tag in JUNK or (tag not in TOP and _marked(attributes, ARTICLE_MARKS if tag == "article" else MARKS))
-        elements.append(Element(tag, stack[-1], junk, up.link or tag == "a"))
+        mark = 0 if tag in TOP or up.junk else _marked(attributes, tag)
+        junk = up.junk or tag in JUNK or mark == 2
+        slug = tag != "main" and (up.slug or (mark == 1 and not up.article))
+        elements.append(Element(tag, stack[-1], junk, up.link or tag == "a", slug, up.article or tag in ("article", "main")))
         if not attributes.endswith("/") or tag in BLOCK or tag == "a":
             stack.append(len(elements) - 1)
     return elements, blocks
@@ -167,6 +187,8 @@ def _imply(elements: list[Element], stack: list[int], ends: set[str], scope: set
 def _score(elements: list[Element], texts: list[tuple[int, str, int]]) -> np.ndarray:
     """Points from paragraphs, times the share of text that is not in links; negative for what can be no container."""
     for owner, text, linked in texts:
+        if elements[owner].slug:
+            continue
         i = owner
         while i >= 0:
             elements[i].chars += len(text)
@@ -182,7 +204,7 @@ def _score(elements: list[Element], texts: list[tuple[int, str, int]]) -> np.nda
     bonus = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 3.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "html": -10.0, "body": -5.0, "#root": -20.0}
     out = np.full(len(elements), -1e9)
     for i, e in enumerate(elements):
-        if e.points and not e.junk and e.tag not in LEAF:
+        if e.points and not e.junk and not e.slug and e.tag not in LEAF:
             out[i] = (e.points + bonus.get(e.tag, 0.0)) * (1 - e.linked / max(1, e.chars))
     return out
 
@@ -193,6 +215,9 @@ def main_text(html: str | None) -> str:
     texts = [(b.owner, t, min(b.linked, len(t))) for b in blocks if (t := " ".join("".join(b.pieces).split()))]
     if not texts:
         return ""
+    if all(elements[owner].slug for owner, _, _ in texts):  # a slug around the whole page tells nothing
+        for e in elements:
+            e.slug = False
     scores = _score(elements, texts)
     best = int(np.argmax(scores))
     i = best
@@ -206,7 +231,7 @@ def main_text(html: str | None) -> str:
     if elements[best].tag not in ("main", "#root"):
         least = max(10.0, 0.2 * scores[best])
         for k, e in enumerate(elements):
-            if e.parent == elements[best].parent and not e.junk and k != best:
+            if e.parent == elements[best].parent and not e.junk and not e.slug and k != best:
                 share = e.linked / max(1, e.chars)
                 if scores[k] >= least or (e.tag in LEAF and e.chars > 80 and share < 0.25 and elements[best].tag != "article"):
                     kept.add(k)
@@ -214,7 +239,7 @@ def main_text(html: str | None) -> str:
     menu = [False] * len(elements)
     for k, e in enumerate(elements):
         inside[k] = k in kept or (e.parent >= 0 and inside[e.parent])
-        menu[k] = (e.parent >= 0 and menu[e.parent]) or (e.tag in ("ul", "ol", "dl") and e.chars > 0 and e.linked > 0.6 * e.chars)
+        menu[k] = (e.parent >= 0 and menu[e.parent]) or (e.tag in ("ul", "ol", "dl") and not e.article and e.chars > 0 and e.linked > 0.6 * e.chars)
     return "\n".join(t for owner, t, _ in texts if inside[owner] and not menu[owner])
 
 

@@ -242,6 +242,20 @@ def test_html_names():
     assert html_extract.main_text(f"<div class=advert>{main}</div>") == ""
 
 
+def test_html_slugs_and_link_lists():
+    """Anchors and longer names inside the article that hold a mark, and its references, keep their text."""
+    main = "<p>One long paragraph, with words, commas and more of the same, so that it counts.</p>"
+    own = "<h2 id=related-work>Related work</h2><h2 id=search class=header>Search</h2><section id=side-effects><p id=share>Effects, two</p></section><div class='legal-history'>History</div>"
+    links = "<ul><li><a href=a>First reference</a><li><a href=b>Second reference</a></ul>"
+    text = html_extract.main_text(main)
+    kept = "\nRelated work\nSearch\nEffects, two\nHistory"
+    junk = "<div class=related-posts>More, more</div><ul class=menu><li>Home</ul><nav><ul><li><a href=c>Up</a></ul></nav><p class=ad>Buy, now</p>"
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><{tag}>{main}{own}{links}{junk}</{tag}></body>") == text + kept + "\nFirst reference\nSecond reference"
+    assert html_extract.main_text(f"<body><div class=text>{main}{own}{junk}</div><div class=side-story><p>Away, away</p></div>{links}</body>") == text + kept
+    assert html_extract.main_text(f"<div class=search-engines><div>Up</div><article>{main}{links}</article></div>") == text + "\nFirst reference\nSecond reference"
+
+
 def test_toxicity_long_clean_texts():
     """Sentences that tell nothing do not add up: a long clean text scores low, and high with one toxic sentence."""
     import numpy as np

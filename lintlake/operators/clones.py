@@ -269,6 +269,22 @@ def history_pairs(current: DataFrame, stored: DataFrame, threshold: float = 0.2,
     return top.select("project_key", "file_a", label.alias("file_b"), F.lit("file").alias("kind"), "jaccard", "matching_k_grams", *_no_lines(), "seq")
 
 
+def cloned_files(fps: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Every file that has a pair in its own or another project of ``fps``, as a pair with itself; no list is cut.
+
+    Files of equal gram sets are one class whatever their project; a class of two or more, or one that meets another,
+    is cloned as a whole, so no pair of files is made.
+    """
+    named = fps.where(F.size("k_gram_hashes") > 0).withColumn("_id", F.concat_ws("\0", "project_key", "file"))
+    grouped = classes(named, [], "_id", "k_gram_hashes")
+    reps = grouped.where("_id = class_id")
+    met = verified(candidate_pairs(reps, [], "class_id", "k_gram_hashes", threshold), reps, [], "class_id", "k_gram_hashes", threshold)
+    copies = grouped.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    cloned = met.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).union(copies).distinct()
+    files = grouped.join(cloned, "class_id", "left_semi")
+    return files.select("project_key", F.col("file").alias("file_a"), F.col("file").alias("file_b"), F.lit("file").alias("kind"), F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("bigint").alias("matching_k_grams"), *_no_lines())
+
+
 def merged_pairs(blocks: DataFrame, own: DataFrame, history: DataFrame, limit: int = REPORT_PAIRS) -> DataFrame:
     """The report's list per project: file pairs before blocks, then similarity and matching grams; ties keep the order
     blocks, own pairs, history. Each input has seq, its order within the project."""

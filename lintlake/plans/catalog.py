@@ -12,6 +12,7 @@ from ..functions.hashing import FNV_OFFSET
 from ..operators import blocks, clones, metrics, rules, scoring, store, views
 from ..options import DEFAULT_PROFILE, CustomProfile, MetricRule
 from ..report import json_rows
+from ..session import materialize
 from ..sources.ignore import IgnoreRule, ignored, in_excluded_directory
 from . import sqltext as S
 from . import tables as T
@@ -330,9 +331,37 @@ def _rates(spark, d):
 
 @query("q22_clone_rate", f"{RATES} SELECT project_key, clone_rate FROM rate")
 def q22(spark, d):
+    """Of the best five own pairs alone, as the SQL has it; q22_merged_rate is the reference's rate."""
     return _rates(spark, d)
 
 
+def _blocks(spark, d, most=blocks.PER_FILE):
+    order = Window.partitionBy("project_key").orderBy(F.collate("file_a", "UNICODE"), "file_a", "rank")
+    return blocks.block_pairs(_positions(spark, d), most=most).withColumn("seq", F.row_number().over(order)).drop("rank")
+
+
+def _merged(spark, d):
+    """The report's list: blocks, own pairs and history; read in several branches, so written once."""
+    return materialize(clones.merged_pairs(_blocks(spark, d), _top(spark, d), _history(spark, d)), "merged")
+
+
+def _merged_rates(spark, d):
+    return clones.clone_rate(_merged(spark, d), T.line_metrics(spark, d))
+
+
+@query("q22_merged_rate")
+def q22_merged(spark, d):
+    """The rate of the report's merged list, cut to 50 as in the reference: tested by brute force, no SQL."""
+    return _merged_rates(spark, d)
+
+
+@query("q22_untruncated_rate")
+def q22_untruncated(spark, d):
+    """The rate of all file pairs, own and history, and all blocks, no list cut: tested by brute force, no SQL."""
+    cloned = clones.cloned_files(T.token_sets(spark, d), 0.2)
+    return clones.clone_rate(cloned.unionByName(_blocks(spark, d, most=None).drop("seq")), T.line_metrics(spark, d))
+
+
 # rules
 
 
@@ -392,9 +421,9 @@ def q27(spark, d):
     return scoring.findings_by_severity(_findings(spark, d)).select("project_key", "severity", "n")
 
 
-def _deductions(spark, d, profile):
+def _deductions(spark, d, profile, rates=_rates):
     files = T.line_metrics(spark, d)
-    projects = metrics.project_metrics(files, _rates(spark, d), profile)
+    projects = metrics.project_metrics(files, rates(spark, d), profile)
     return scoring.deductions(projects, files, _findings(spark, d), profile)
 
 
@@ -415,24 +444,42 @@ CUSTOM_SQL = _deduction_sql(PENALTY.replace("0.5::DOUBLE", "0.25::DOUBLE"), (100
 
 
 @query("q28_deductions", f"{DEFAULT_SQL} SELECT project_key, category, label, coalesce(n, 0) AS n, round(points, 6) AS points FROM ded")
-def q28(spark, d):
-    df = _deductions(spark, d, DEFAULT_PROFILE).select("project_key", F.explode("deductions").alias("x"))
+def q28(spark, d, rates=_rates):
+    df = _deductions(spark, d, DEFAULT_PROFILE, rates).select("project_key", F.explode("deductions").alias("x"))
     return df.select("project_key", "x.category", "x.label", F.coalesce("x.count", F.lit(0)).alias("n"), F.round("x.points", 6).alias("points"))
 
 
 @query("q29_score_gate", f"{DEFAULT_SQL} SELECT project_key, round(score, 6) AS score, score >= 60 AS passed, CAST(CASE WHEN score >= 60 THEN 0 ELSE 1 + (SELECT count(*) FROM ded WHERE ded.project_key = tot.project_key) END AS BIGINT) AS n_reasons FROM tot")
-def q29(spark, d):
-    df = scoring.gate(_deductions(spark, d, DEFAULT_PROFILE), DEFAULT_PROFILE)
+def q29(spark, d, rates=_rates):
+    df = scoring.gate(_deductions(spark, d, DEFAULT_PROFILE, rates), DEFAULT_PROFILE)
     return df.select("project_key", F.round("score", 6).alias("score"), "passed", big(F.size("failure_reasons")).alias("n_reasons"))
 
 
 @query("q30_custom_score", f"{CUSTOM_SQL} SELECT project_key, 'custom' AS profile_id, round(score, 6) AS score, 75.0::DOUBLE AS pass_score, score >= 75 AS passed FROM tot")
-def q30(spark, d):
+def q30(spark, d, rates=_rates):
     profile = CUSTOM.profile()
-    df = scoring.gate(_deductions(spark, d, profile), profile)
+    df = scoring.gate(_deductions(spark, d, profile, rates), profile)
     return df.select("project_key", "profile_id", F.round("score", 6).alias("score"), "pass_score", "passed")
 
 
+# the same by the merged list's rate; SQL has no blocks, so the queries above keep the rate of their SQL
+
+
+@query("q28_merged_deductions")
+def q28_merged(spark, d):
+    return q28(spark, d, _merged_rates)
+
+
+@query("q29_merged_score_gate")
+def q29_merged(spark, d):
+    return q29(spark, d, _merged_rates)
+
+
+@query("q30_merged_custom_score")
+def q30_merged(spark, d):
+    return q30(spark, d, _merged_rates)
+
+
 # store
 
 
@@ -514,10 +561,11 @@ def q36(spark, d):
 @query("q37_report_json")
 def q37(spark, d):
     files = T.line_metrics(spark, d)
-    projects = metrics.project_metrics(files, _rates(spark, d), DEFAULT_PROFILE)
+    pairs = _merged(spark, d)
+    projects = metrics.project_metrics(files, clones.clone_rate(pairs, files), DEFAULT_PROFILE)
     found = _findings(spark, d)
     scores = scoring.score_projects(projects, files, found, DEFAULT_PROFILE)
-    return json_rows(projects, files.drop("doc_id"), found, _top(spark, d), scores)
+    return json_rows(projects, files.drop("doc_id"), found, pairs, scores)
 
 
 @query(

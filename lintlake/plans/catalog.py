@@ -625,7 +625,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY jaccard DES
 SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams, CAST(k AS BIGINT) AS seq FROM r WHERE k <= 50""",
 )
 def q41(spark, d):
-    """File pairs of both kinds in the report's order; blocks (q21) come after all file pairs."""
+    """File pairs of both kinds in the report's order, as the SQL has it; q41_merged_blocks has the blocks too."""
     own, old = _top(spark, d), _history(spark, d)
     none = own.limit(0)
     return clones.merged_pairs(none, own, old).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
+
+
+@query("q41_merged_blocks")
+def q41_blocks(spark, d):
+    """The report's whole list, with the blocks that come after a project's file pairs: tested by brute force, no SQL."""
+    return _merged(spark, d).select("project_key", "file_a", "file_b", "kind", "jaccard", "matching_k_grams", "start_line_a", "end_line_a", "start_line_b", "end_line_b", big(F.col("seq")).alias("seq"))

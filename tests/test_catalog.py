@@ -81,3 +81,14 @@ def test_report_lists_merged_pairs(spark, documents):
         assert got[p]["metrics"]["cloneRate"] == pytest.approx(rate)
         lines = ("start_line_a", "end_line_a", "start_line_b", "end_line_b")
         assert [(x["file_a"], x["file_b"], x["kind"], x["matching_k_grams"], *(x.get(c) for c in lines)) for x in got[p]["clonePairs"]] == pairs
+
+
+def test_merged_list_has_blocks(spark, documents):
+    path, rows = documents
+    got = catalog.queries()["q41_merged_blocks"](spark, path).orderBy("project_key", "seq").collect()
+    for p, (pairs, _) in plain(rows, True).items():
+        lines = ("start_line_a", "end_line_a", "start_line_b", "end_line_b")
+        own = [r for r in got if r["project_key"] == p]
+        assert [(r["file_a"], r["file_b"], r["kind"], r["matching_k_grams"], *(r[c] for c in lines)) for r in own] == pairs
+        assert [r["seq"] for r in own] == list(range(1, len(own) + 1))
+    assert any(r["kind"] == "block" for r in got)

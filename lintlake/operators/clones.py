@@ -35,41 +35,77 @@ def tokens() -> Column:
     return F.filter(made, lambda x: x["value"].isNotNull())
 
 
-def all_gram_hashes(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
-    """FNV-1a hashes of each list's grams in order; all grams advance together in numpy."""
-    units, starts, ends, counts, at = [], [], [], [], 0
-    for tokens_ in token_lists:
-        own = np.frombuffer(SEPARATOR.join(tokens_).encode("utf-16-le", "surrogatepass"), "<u2")
-        sizes = np.array([len(t) + sum(c > "\uffff" for c in t) if not t.isascii() else len(t) for t in tokens_], np.int64)
-        first = at + np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(sizes) else sizes
-        w = min(k, len(tokens_))
-        n = len(tokens_) - w + 1 if w else 0
-        starts.append(first[:n])
-        ends.append(first[w - 1 : w - 1 + n] + sizes[w - 1 : w - 1 + n] if n else sizes)
-        counts.append(n)
-        units.append(own)
-        at += len(own)
-    if not sum(counts):
-        return [np.zeros(0, np.int64) for _ in token_lists]
-    text, start, end = np.concatenate(units), np.concatenate(starts), np.concatenate(ends)
-    order = np.argsort(start - end, kind="stable")  # longest first, so that those still growing are a head of the array
-    begin, length = start[order], (end - start)[order]
-    h = np.full(len(begin), FNV_OFFSET, np.uint64)
-    growing = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
-    for step, n in enumerate(growing):
-        h[:n] = ((h[:n] ^ text[begin[:n] + step]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
-    out = np.empty(len(h), np.int64)
-    out[order] = h.astype(np.int64)
-    return np.split(out, np.cumsum(counts)[:-1])
-
-
-def gram_hash_arrays(token_lists: list[list[str]], k: int = GRAM) -> list[np.ndarray]:
+def list_parts(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of an array column one after another, and how many each row has (0 for null)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), sizes
+
+
+def _units(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 code units of all words, each followed by the separator, and where each word begins (with the end)."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0] if len(words) else np.zeros(1, np.int64)
+    if len(raw) and raw.max() >= 0x80:
+        starts = (raw & 0xC0) != 0x80
+        before = np.concatenate([[0], np.cumsum(starts.astype(np.int64) + (raw >= 0xF0))])
+        units = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-16-le"), "<u2")
+        offsets = before[offsets]
+    else:
+        units = raw.astype(np.uint16)
+    out = np.full(len(units) + len(words), ord(SEPARATOR), np.uint16)
+    out[np.arange(len(units)) + np.repeat(np.arange(len(words)), np.diff(offsets))] = units
+    return out, offsets + np.arange(len(words) + 1)
+
+
+def _fnv(units: np.ndarray, begin: np.ndarray, size: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """FNV-1a of runs of ``units``; the runs of a block advance together, the longest first."""
+    out = np.empty(len(begin), np.uint32)
+    prime = np.uint32(FNV_PRIME)
+    for at in range(0, len(begin), block):
+        own = size[at : at + block]
+        order = np.argsort(-own, kind="stable")
+        place, length = begin[at : at + block][order], own[order]
+        h = np.full(len(order), FNV_OFFSET, np.uint32)
+        growing = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+        for n in growing.tolist():
+            h[:n] ^= units[place[:n]]
+            h[:n] *= prime
+            place[:n] += 1
+        out[at + order] = h
+    return out
+
+
+def _all_grams(words: pa.StringArray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """FNV-1a hashes of all grams of all lists in order, and how many each list has."""
+    units, begins = _units(words)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else counts
+    width = np.minimum(k, counts)
+    grams = np.where(counts > 0, counts - width + 1, 0)
+    start = np.repeat(first, grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+    begin = begins[start]
+    return _fnv(units, begin, begins[start + np.repeat(width, grams)] - 1 - begin), grams
+
+
+def ordered_gram_hashes(words: pa.StringArray, counts: np.ndarray, k: int = GRAM) -> list[np.ndarray]:
+    """Hashes of each list's grams of min(k, n) values, in order; ``words`` are the values of all lists."""
+    hashes, grams = _all_grams(words, counts, k)
+    return np.split(hashes.astype(np.int64), np.cumsum(grams)[:-1]) if len(grams) else []
+
+
+def _distinct_grams(column: pa.ListArray, k: int) -> pa.ListArray:
     """Distinct hashes of each list's grams, in order of first appearance."""
-    return [p[np.sort(np.unique(p, return_index=True)[1])] for p in all_gram_hashes(token_lists, k)]
+    hashes, grams = _all_grams(*list_parts(column), k)
+    of = np.repeat(np.arange(len(grams), dtype=np.uint64), grams)
+    kept = np.sort(np.unique(of << np.uint64(32) | hashes, return_index=True)[1])
+    sizes = np.bincount(of[kept].astype(np.int64), minlength=len(grams)) if len(grams) else grams
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[kept].astype(np.int64)))
 
 
 def _mapped(df: DataFrame, column: str, out: str, work, rows: int = 512) -> DataFrame:
-    """``df`` with ``column`` (an array) replaced by the array<bigint> ``out`` that ``work`` makes of lists of it."""
+    """``df`` with ``column`` (an array) replaced by the array<bigint> ``out`` that ``work`` makes of an Arrow array of it."""
     keep = [c for c in df.columns if c not in (column, out)]
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField(out, T.ArrayType(T.LongType()))])
 
@@ -77,37 +113,48 @@ def _mapped(df: DataFrame, column: str, out: str, work, rows: int = 512) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                made = work(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int64()))], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.column(part.num_columns - 1))], names=[*keep, out])
 
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
 def with_gram_hashes(df: DataFrame, values: str, out: str = "k_gram_hashes", k: int = GRAM) -> DataFrame:
-    """``df`` with the tokens in ``values`` replaced by their distinct gram hashes. Arrow batches; the hashes are used
-    several times downstream, and a mapped column is never evaluated twice. functions.hashing has the same as columns."""
-    return _mapped(df, values, out, lambda lists: gram_hash_arrays([x or [] for x in lists], k))
+    """``df`` with the tokens in ``values`` replaced by their distinct gram hashes, in order of first appearance.
+
+    Arrow batches: all grams of a batch are hashed together from the buffer of its words. The hashes are used several
+    times downstream, and a mapped column is never evaluated twice. functions.hashing has the same as columns.
+    """
+    return _mapped(df, values, out, lambda column: _distinct_grams(column, k))
 
 
-def signature_of(hashes: list[int] | None, size: int = SIGNATURE) -> list[int]:
-    if not hashes:
-        return []
+def _signatures(column: pa.ListArray, size: int = SIGNATURE, block: int = 1 << 15) -> pa.ListArray:
+    """MinHash signatures of lists of 32-bit hashes, list after list within a block; empty for an empty list."""
+    values, counts = list_parts(column)
+    v = values.to_numpy(zero_copy_only=False).astype(np.uint32)
     seeds = (np.arange(1, size + 1, dtype=np.uint64) * MIX_STEP & MASK).astype(np.uint32)
-    low, v = np.full(size, MASK, np.uint32), np.asarray(hashes, np.int64).astype(np.uint32)
-    for at in range(0, len(v), 4096):
-        h = v[at : at + 4096, None] ^ seeds[None, :]
-        h ^= h >> np.uint32(16)
-        h *= np.uint32(MIX_A)
-        h ^= h >> np.uint32(13)
-        h *= np.uint32(MIX_B)
-        h ^= h >> np.uint32(16)
-        np.minimum(low, h.min(axis=0), out=low)
-    return low.astype(np.int64).tolist()
+    full = np.flatnonzero(counts)
+    low = np.full((size, len(full)), MASK, np.uint32)
+    ends = np.cumsum(counts[full])
+    for at in range(0, len(v), block):
+        part = v[at : at + block]
+        lo, hi = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + len(part) - 1, side="right")
+        cuts = np.maximum((ends - counts[full])[lo : hi + 1] - at, 0)
+        for s, seed in enumerate(seeds):
+            h = part ^ seed
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(MIX_A)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(MIX_B)
+            h ^= h >> np.uint32(16)
+            np.minimum(low[s, lo : hi + 1], np.minimum.reduceat(h, cuts), out=low[s, lo : hi + 1])
+    sizes = np.where(counts > 0, size, 0)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(low.T).reshape(-1).astype(np.int64)))
 
 
 def minhash(df: DataFrame, hashes: str = "k_gram_hashes", out: str = "signature") -> DataFrame:
     """``df`` with the MinHash signature of an array of 32-bit hashes; empty for none. Arrow batches, numpy."""
-    return _mapped(df.withColumn("_h", F.col(hashes)), "_h", out, lambda lists: [signature_of(x) for x in lists])
+    return _mapped(df.withColumn("_h", F.col(hashes)), "_h", out, _signatures)
 
 
 def fingerprints(parsed: DataFrame, metrics: DataFrame) -> DataFrame:

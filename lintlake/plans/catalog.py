@@ -309,9 +309,11 @@ def _positions(spark, d):
     return df.select("project_key", "file", F.transform("t", lambda x: x["v"]).alias("values"), F.transform("t", lambda x: x["at"]).alias("lines"))
 
 
-@query("q21_repeated_blocks")
+@query(
+    "q21_repeated_blocks",
+    f"WITH {S.BLOCKS} SELECT project_key, file AS file_a, file AS file_b, 'block' AS kind, 1.0::DOUBLE AS jaccard, CAST(k - 11 AS BIGINT) AS matching_k_grams, s1 AS start_line_a, e1 AS end_line_a, s2 AS start_line_b, e2 AS end_line_b, CAST(rank AS BIGINT) AS rank FROM blocks",
+)
 def q21(spark, d):
-    """Greedy and sequential within a document: tested against a plain version, no SQL."""
     return blocks.block_pairs(_positions(spark, d))
 
 

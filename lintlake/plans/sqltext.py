@@ -75,3 +75,27 @@ met AS MATERIALIZED (SELECT doc_id, project_key, file, language, CAST(len(l) AS
   CAST(len(list_filter(l, lambda x: {comment('x', 'language')})) AS BIGINT) AS commentLines, CAST(len(list_filter(l, lambda x: {trimmed('x')} = '')) AS BIGINT) AS blank,
   CAST(1 + len(list_filter(t, lambda w: list_contains({list(DECISIONS)}, w))) AS BIGINT) AS complexity, CAST(n // 1000 AS BIGINT) AS nesting FROM met0)
 """
+
+BLOCK_SEEDS = f"""
+pos0 AS (SELECT source AS project_key, {FILE} AS file, {lines("coalesce(text, '')")} AS l FROM documents),
+pos1 AS (SELECT project_key, file, flatten(list_transform(l, lambda x, i: list_transform(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+'), lambda w: {{'w': w, 'at': CAST(i AS BIGINT)}}))) AS t FROM pos0),
+pos AS MATERIALIZED (SELECT project_key, file, n, i, t[i].w AS w, t[i].at AS line, array_to_string(list_transform(t[i:i + 11], lambda x: x.w), chr(1)) AS g FROM (SELECT project_key, file, t, len(t) AS n, unnest(range(1, len(t) + 1)) AS i FROM pos1 WHERE len(t) >= 48)),
+seed AS (SELECT project_key, file, n, i, h, row_number() OVER (PARTITION BY file, h ORDER BY i) AS nth, min(i) OVER (PARTITION BY file, h) AS first FROM (SELECT *, {fnv('g')} AS h FROM pos WHERE i <= n - 11)),
+far AS MATERIALIZED (SELECT a.project_key, a.file, a.n, a.first, a.i AS a, b.i AS b, b.i - a.i AS d FROM seed a JOIN seed b ON a.file = b.file AND a.h = b.h WHERE a.nth <= 20 AND b.nth <= 20 AND b.i - a.i >= 24)
+"""
+#: a match ends at the first difference of its diagonal, its second place or the end
+BLOCK_CANDIDATES = f"""{BLOCK_SEEDS},
+diagonal AS (SELECT DISTINCT file, n, d FROM far),
+differs AS (SELECT x.file, g.d, x.i FROM diagonal g JOIN pos x ON x.file = g.file JOIN pos y ON y.file = g.file AND y.i = x.i + g.d WHERE x.w <> y.w UNION ALL SELECT file, d, n - d + 1 FROM diagonal),
+grown AS (SELECT f.*, least(f.d, e.i - f.a) AS k FROM (SELECT *, a + 12 AS from_ FROM far) f ASOF JOIN differs e ON e.file = f.file AND e.d = f.d AND e.i >= f.from_),
+spans AS (SELECT g.project_key, g.file, g.first, g.a, g.b, g.k, s1.line AS s1, e1.line AS e1, s2.line AS s2, e2.line AS e2 FROM grown g JOIN pos s1 ON s1.file = g.file AND s1.i = g.a JOIN pos e1 ON e1.file = g.file AND e1.i = g.a + g.k - 1
+  JOIN pos s2 ON s2.file = g.file AND s2.i = g.b JOIN pos e2 ON e2.file = g.file AND e2.i = g.b + g.k - 1 WHERE g.k >= 24 AND e1.line - s1.line >= 2 AND e2.line - s2.line >= 2),
+block AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k DESC, first, a, b) AS o FROM (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY file, s1, e1, s2, e2 ORDER BY first, a, b) = 1))
+"""
+#: the longest block that shares no tokens on both sides with one chosen before, five times
+_steps, _chosen = [], []
+for _i in range(5):
+    _free = " ".join(f"AND NOT EXISTS (SELECT 1 FROM {c} c WHERE c.file = b.file AND b.a < c.a + c.k AND c.a < b.a + b.k AND b.b < c.b + c.k AND c.b < b.b + b.k)" for c in _chosen)
+    _steps.append(f"b{_i} AS MATERIALIZED (SELECT b.*, {_i} AS rank FROM block b WHERE TRUE {_free} QUALIFY row_number() OVER (PARTITION BY file ORDER BY o) = 1)")
+    _chosen.append(f"b{_i}")
+BLOCKS = f"{BLOCK_CANDIDATES}, {', '.join(_steps)}, blocks AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {c}' for c in _chosen)})"

@@ -206,7 +206,45 @@ def test_blocks():
     lines = [1 + i // 4 for i in range(28)] + [9, 10] + [20 + i // 4 for i in range(28)]
     assert blocks.repeated_blocks([*body, "u", "v", *body], lines) == [(28, 1, 7, 20, 26)]
     assert blocks.repeated_blocks(body + body, [1] * 14 + [2] * 14 + [3] * 14 + [4] * 14) == []
-    assert blocks.overlap((1, 3), (3, 4)) and not blocks.overlap((1, 2), (3, 4))
+
+
+def test_blocks_that_meet_on_a_line():
+    """Two repeats that share their last and first line on both sides, but no token, are both kept."""
+    one, two = [f"a{i}" for i in range(24)], [f"b{i}" for i in range(24)]
+    first = [1] * 10 + [2] * 10 + [3] * 4
+    second = [3] * 10 + [4] * 10 + [5] * 4
+    values = [*one, "x", *two, "gap", *one, "y", *two]
+    lines = [*first, 3, *second, 6, *(n + 10 for n in first), 13, *(n + 10 for n in second)]
+    assert blocks.repeated_blocks(values, lines) == [(24, 1, 3, 11, 13), (24, 3, 5, 13, 15)]
+
+
+def plain_blocks(values, lines, least=24, most=5, per_seed=20):
+    """The selection as nested loops."""
+    seeds, found = {}, {}
+    for i in range(len(values) - 11):
+        seeds.setdefault(tuple(values[i : i + 12]), []).append(i)
+    for places in seeds.values():
+        for x, a in enumerate(places[:per_seed]):
+            for b in places[x + 1 : per_seed]:
+                k = 12
+                while a + k < b and b + k < len(values) and values[a + k] == values[b + k]:
+                    k += 1
+                span = (lines[a], lines[a + k - 1], lines[b], lines[b + k - 1])
+                if b - a >= least <= k and span[1] - span[0] > 1 and span[3] - span[2] > 1:
+                    found.setdefault(span, (k, a, b))
+    kept = []
+    for span, (k, a, b) in sorted(found.items(), key=lambda x: -x[1][0]):
+        if len(kept) < most and not any(a < c + n and c < a + k and b < d + n and d < b + k for (n, *_), c, d in kept):
+            kept.append(((k, *span), a, b))
+    return [x[0] for x in kept]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 40)), max_size=14), st.integers(1, 9), st.integers(2, 30))
+def test_blocks_against_loops(parts, width, per_seed):
+    values = [f"t{kind * (1 + i % 7 if kind == 3 else i)}" for kind, n in parts for i in range(n)]
+    lines = [1 + i // width for i in range(len(values))]
+    assert blocks.repeated_blocks(values, lines, per_seed=per_seed) == plain_blocks(values, lines, per_seed=per_seed)
 
 
 def test_clone_rate(spark):

@@ -49,9 +49,8 @@ def escape_html(text: Column) -> Column:
 
 
 def number(value: Column, digits: int = 0) -> Column:
-    """Grouped, with at most ``digits`` decimals, halves away from zero."""
-    shown = F.format_number(F.round(value.cast("double"), digits), digits)
-    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Grouped, with exactly ``digits`` decimals, halves away from zero."""
+    return F.format_number(F.round(value.cast("double"), digits), digits)
 
 
 def percent(share: Column) -> Column:
@@ -59,6 +58,11 @@ def percent(share: Column) -> Column:
     return F.concat(F.format_number(F.round(share.cast("double") * 100, 1), 1), F.lit("%"))
 
 
+def shown_date(moment: Column) -> Column:
+    """A timestamp to the minute, year first, in the session's time zone."""
+    return F.date_format(moment, "yyyy/MM/dd HH:mm")
+
+
 def location(file: Column, start: Column, end: Column) -> Column:
     """``file:start-end`` for a range, else the file."""
     ranged = F.concat(file, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import FNV_OFFSET, FNV_PRIME, MASK, MIX_A, MIX_B, MIX_STEP, SEPARATOR
+from ..session import materialize
 
 #: Sizes of the signature, its bands, grams; limits of results; pairs that are compared exhaustively.
 SIGNATURE, BANDS, ROWS, GRAM = 128, 16, 8, 12
@@ -176,81 +177,157 @@ def jaccard(matching: Column, n_a: Column, n_b: Column) -> Column:
     return matching / (n_a + n_b - matching)
 
 
+def set_key(hashes: str) -> Column:
+    """16 bytes that stand for a set of hashes: two 64-bit hashes, differently seeded, of the sorted array."""
+    ordered = F.array_sort(hashes)
+    part = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.unhex(F.concat(part(F.xxhash64(ordered)), part(F.xxhash64(F.lit(17), ordered))))
+
+
 def classes(sets: DataFrame, scope: list[str], id_col: str, hashes: str) -> DataFrame:
-    """``sets`` with class_id: the smallest id of the scope with the same set of hashes, so copies are joined once."""
-    rows = sets.withColumn("_sha", F.sha2(F.array_join(F.array_sort(hashes).cast("array<string>"), ","), 256))
-    least = rows.groupBy(*scope, "_sha").agg(F.min(id_col).alias("class_id"))
-    return rows.join(least, [*scope, "_sha"]).drop("_sha")
+    """(scope..., id, n, class_id): class_id is the smallest id of the scope with the same set of ``n`` hashes, so copies
+    are joined once. Sets without hashes have no row; the hashes themselves are not shuffled."""
+    rows = sets.where(F.size(hashes) > 0).select(*scope, id_col, F.size(hashes).cast("bigint").alias("n"), set_key(hashes).alias("_key"))
+    least = rows.groupBy(*scope, "_key").agg(F.min(id_col).alias("class_id"))
+    return rows.join(least, [*scope, "_key"]).drop("_key")
+
 
+def representatives(sets: DataFrame, members: DataFrame, scope: list[str], id_col: str) -> DataFrame:
+    """Of ``sets`` one for each class that classes() found."""
+    return sets.join(members.where(F.col(id_col) == F.col("class_id")).select(*scope, id_col), [*scope, id_col], "left_semi")
 
-def prefixes(sets: DataFrame, scope: list[str], ids: list[str], hashes: str, threshold: float) -> DataFrame:
-    """(scope..., ids..., n, h): of each set the hashes that a pair reaching the threshold must meet on.
 
-    Hashes are ordered by rarity in the scope, ties by value. Two sets with Jaccard >= t share one of the first
-    n - ceil(t * n) + 1 of each. Frequent hashes come last and mostly drop out; none is dropped from the similarity.
+def shared_grams(sets: DataFrame, scope: list[str], id_col: str, hashes: str) -> DataFrame:
+    """(scope..., id, n, df, gram, w, rest): of each set what it has in common with other sets of its scope.
+
+    Grams that occur in exactly the same sets are one entry: ``gram`` is the smallest of them, ``w`` their number and
+    ``df`` the number of sets, so a passage that a group of files shares is joined once and not once per gram. Such
+    grams are told by their count and two 64-bit sums (exclusive or) over the ids of their sets. Grams of one set only
+    meet nothing and are left out; ``n`` still counts them. Rare entries come first: ``rest`` is the number of grams
+    from an entry's first on, in that order. Written once, for it is read for candidates and for their verification.
+    """
+    keys = [F.col(c) for c in scope]
+    rows = sets.select(*keys, F.col(id_col).alias("id"), F.size(hashes).alias("n"), F.explode(hashes).alias("gram"))
+    print_ = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "id")).alias("y")]
+    common = rows.groupBy(*scope, "gram").agg(F.count("*").alias("df"), *print_).where("df > 1")
+    entries = common.groupBy(*scope, "df", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("w")).drop("x", "y")
+    held = rows.join(entries, [*scope, "gram"])
+    own = Window.partitionBy(*scope, "id")
+    later = F.sum("w").over(own.orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return materialize(held.withColumn("rest", later), "shared-grams")
+
+
+def _chunked(rows: DataFrame, keys: list[str], id_col: str, size: str, chunk: int) -> DataFrame:
+    """``rows`` with _chunk, _lo, _hi: groups of equal ``keys`` with more than ``chunk`` rows (by column ``size``) are
+    dealt into chunks, and a row is in as many pairs of chunks as there are chunks; no pair of rows is lost."""
+    chunks = F.ceil(F.col(size) / chunk).cast("int")
+    cut = rows.withColumn("_chunk", F.pmod(F.xxhash64(id_col), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return cut.withColumns({"_lo": F.least("_chunk", "_other"), "_hi": F.greatest("_chunk", "_other")}).drop("_other")
+
+
+def _met(rows: DataFrame, keys: list[str], id_col: str, *more: Column) -> DataFrame:
+    """Self-join of chunked ``rows`` on ``keys`` and their pair of chunks, as a and b with a's id below b's."""
+    a, b = rows.alias("a"), rows.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "_lo", "_hi"]]
+    once = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._chunk") != F.col("b._chunk"))
+    return a.join(b, [*same, F.col(f"a.{id_col}") < F.col(f"b.{id_col}"), once, *more])
+
+
+def candidate_pairs(shared: DataFrame, scope: list[str], threshold: float, flags: tuple[str, ...] = (), either: Column | None = None, chunk: int = 512) -> DataFrame:
+    """(scope..., id_a, id_b), id_a < id_b: all pairs that may reach the threshold, by an equi-join of prefixes.
+
+    ``shared`` is what shared_grams() gives. Two sets with Jaccard >= t have one of the first n - ceil(t * n) + 1 grams of
+    each in common, and at the first common gram enough must be left on both sides (size and positional bounds). An
+    entry of more than ``chunk`` sets is joined in pairs of chunks. ``either`` is a further condition on a and b, over
+    the columns ``flags`` of ``shared``.
     """
-    df = sets.select(*scope, *ids, F.size(hashes).alias("n"), F.explode(hashes).alias("h"))
-    frequency = df.groupBy(*scope, "h").agg(F.count("*").alias("df"))
-    ranked = df.join(frequency, [*scope, "h"]).groupBy(*scope, *ids, "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    cut = F.slice("hs", F.lit(1), F.greatest(F.lit(1), F.least(F.col("n"), length)))
-    return ranked.select(*scope, *ids, "n", F.explode(cut).alias("x")).select(*scope, *ids, "n", F.col("x.h").alias("h"))
+    n = F.col("n")
+    prefix = shared.where((n - F.col("rest")) <= n - F.ceil(F.lit(threshold) * n - 1e-9)).select(*scope, "id", "n", "rest", "gram", "df", *flags)
+    total = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9
+    enough = [_sizes_fit("a.n", "b.n", threshold), F.least("a.rest", "b.rest") >= total]
+    joined = _met(_chunked(prefix, [*scope, "gram"], "id", "df", chunk), [*scope, "gram"], "id", *enough, *([either] if either is not None else []))
+    return joined.select(*[F.col(f"a.{c}").alias(c) for c in scope], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def _sizes_fit(a: str, b: str, threshold: float) -> Column:
     return (F.col(a) * 1.0 >= F.col(b) * threshold - 1e-9) & (F.col(b) * 1.0 >= F.col(a) * threshold - 1e-9)
 
 
-def candidate_pairs(sets: DataFrame, scope: list[str], id_col: str, hashes: str, threshold: float) -> DataFrame:
-    """(scope..., id_a, id_b), id_a < id_b: all pairs that may reach the threshold, by an equi-join of prefixes."""
-    prefix = prefixes(sets.withColumnRenamed(id_col, "id"), scope, ["id"], hashes, threshold)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "h"]]
-    joined = a.join(b, [*same, F.col("a.id") < F.col("b.id"), _sizes_fit("a.n", "b.n", threshold)])
-    return joined.select(*[F.col(f"a.{c}").alias(c) for c in scope], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-
-
-def lsh_pairs(signed: DataFrame, scope: list[str], id_col: str) -> DataFrame:
-    """(scope..., id_a, id_b): pairs that share a band."""
+def lsh_pairs(signed: DataFrame, scope: list[str], id_col: str, chunk: int = 512) -> DataFrame:
+    """(scope..., id_a, id_b): pairs that share a band; a large bucket is joined in pairs of chunks."""
     keyed = bands(signed, [*scope, id_col])
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "band", "band_key"]]
-    joined = a.join(b, [*same, F.col(f"a.{id_col}") < F.col(f"b.{id_col}")])
+    sizes = keyed.groupBy(*scope, "band", "band_key").agg(F.count("*").alias("_size")).where("_size > 1")
+    keys = [*scope, "band", "band_key"]
+    joined = _met(_chunked(keyed.join(sizes, keys), keys, id_col, "_size", chunk), keys, id_col)
     return joined.select(*[F.col(f"a.{c}").alias(c) for c in scope], F.col(f"a.{id_col}").alias("id_a"), F.col(f"b.{id_col}").alias("id_b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scope: list[str], id_col: str, hashes: str, threshold: float) -> DataFrame:
-    """Pairs with their exact similarity: at least the threshold, and something in common."""
-    side = lambda x: sets.select(*scope, F.col(id_col).alias(f"id_{x}"), F.col(hashes).alias(f"h_{x}"))
+def verified(pairs: DataFrame, shared: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """Pairs with their exact similarity: at least the threshold, and something in common.
+
+    An entry of shared_grams() and its weight travel as one number (gram in the upper bits), so what two sets have in
+    common is an intersection of short arrays.
+    """
+    mark = F.shiftleft(F.col("gram"), 31).bitwiseOR(F.col("w"))
+    sets = shared.groupBy(*scope, "id", "n").agg(F.collect_list(mark).alias("marks"))
+    side = lambda x: sets.select(*scope, F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
     both = pairs.join(side("a"), [*scope, "id_a"]).join(side("b"), [*scope, "id_b"])
-    m = F.size(F.array_intersect("h_a", "h_b")).cast("bigint")
-    both = both.select(*scope, "id_a", "id_b", m.alias("matching_k_grams"), F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"))
-    both = both.withColumn("jaccard", jaccard(F.col("matching_k_grams"), F.col("n_a"), F.col("n_b")))
+    m = F.aggregate(F.array_intersect("m_a", "m_b"), F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit((1 << 31) - 1)))
+    both = both.withColumn("matching_k_grams", m).withColumn("jaccard", jaccard(F.col("matching_k_grams"), F.col("n_a"), F.col("n_b")))
     return both.where((F.col("matching_k_grams") > 0) & (F.col("jaccard") >= threshold)).select(*scope, "id_a", "id_b", "jaccard", "matching_k_grams")
 
 
+def similar_pairs(sets: DataFrame, scope: list[str], id_col: str, hashes: str, threshold: float) -> DataFrame:
+    """(scope..., id_a, id_b, jaccard, matching_k_grams), id_a < id_b: all pairs of sets that reach the threshold."""
+    shared = shared_grams(sets, scope, id_col, hashes)
+    return verified(candidate_pairs(shared, scope, threshold), shared, scope, threshold)
+
+
+def _thresholds(threshold: float) -> list[float]:
+    """A list of the best few is looked for among very similar pairs first; it is complete once it is long enough."""
+    return [t for t in (0.8, 0.5) if t > threshold] + [threshold]
+
+
 def project_pairs(fps: DataFrame, threshold: float = 0.2, limit: int = FILE_PAIRS, mode: str = "auto") -> DataFrame:
     """The first ``limit`` file pairs of each project by similarity, matching grams, file order.
 
     mode: "exact" finds all pairs, "lsh" those that share a band, "auto" is exact for projects of at most 10,000 pairs
     of files and LSH for larger ones. Copies are joined once as a class and of each class only as many files as
-    the limit can need are put back, so no group of copies is expanded.
+    the limit can need are put back, so no group of copies is expanded. Exact pairs are looked for from the top:
+    projects with ``limit`` pairs at 0.8 need no lower ones, and so on down to the threshold.
     """
-    sized = fps.join(fps.groupBy("project_key").agg(F.count("*").alias("n_files")), "project_key")
-    grouped = classes(sized.where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
-    reps = grouped.where(F.col("file") == F.col("class_id"))
-    small = F.col("n_files") * (F.col("n_files") - 1) / 2 <= EXHAUSTIVE
+    key = ["project_key"]
+    members = materialize(classes(fps, key, "file", "k_gram_hashes"), "classes")
+    reps = representatives(fps, members, key, "file")
+    counts = fps.groupBy("project_key").agg(F.count("*").alias("n_files"))
+    small = counts.where(F.col("n_files") * (F.col("n_files") - 1) / 2 <= EXHAUSTIVE).select("project_key")
+    shared = shared_grams(reps, key, "file", "k_gram_hashes")
     parts = []
     if mode in ("exact", "auto"):
-        parts.append(candidate_pairs(reps.where(small) if mode == "auto" else reps, ["project_key"], "class_id", "k_gram_hashes", threshold))
+        left = shared.join(small, "project_key", "left_semi") if mode == "auto" else shared
+        sizes = members.groupBy("project_key", "class_id").agg(F.count("*").alias("c"))
+        within = sizes.groupBy("project_key").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("k"))
+        for t in _thresholds(threshold):
+            found = materialize(verified(candidate_pairs(left, key, t), left, key, t), "project-pairs")
+            if t != threshold:
+                count = found.groupBy("project_key").agg(F.count("*").alias("k")).unionByName(within).groupBy("project_key").agg(F.sum("k").alias("k"))
+                done = materialize(count.where(F.col("k") >= limit).select("project_key"), "complete")
+                parts.append(found.join(done, "project_key", "left_semi"))
+                left = left.join(done, "project_key", "left_anti")
+                if left.isEmpty():
+                    break
+            else:
+                parts.append(found)
     if mode in ("lsh", "auto"):
-        parts.append(lsh_pairs(reps.where(~small) if mode == "auto" else reps, ["project_key"], "class_id"))
-    candidates = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    between = verified(candidates, reps, ["project_key"], "class_id", "k_gram_hashes", threshold)
-    within = reps.select("project_key", F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.size("k_gram_hashes").cast("bigint").alias("matching_k_grams"))
+        parts.append(verified(lsh_pairs(reps.join(small, "project_key", "left_anti") if mode == "auto" else reps, key, "file"), shared, key, threshold))
+    between = parts[0]
+    for part in parts[1:]:
+        between = between.unionByName(part)
+    own = members.where("file = class_id")
+    within = own.select("project_key", F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.col("n").alias("matching_k_grams"))
     first = F.row_number().over(_window(["project_key", "class_id"], [F.collate("file", "UNICODE"), F.col("file")]))
-    members = grouped.select("project_key", "class_id", "file").withColumn("_r", first).where(F.col("_r") <= limit + 1)
-    side = lambda x: members.select("project_key", F.col("class_id").alias(f"id_{x}"), F.col("file").alias(f"f_{x}"))
+    some = members.select("project_key", "class_id", "file").withColumn("_r", first).where(F.col("_r") <= limit + 1)
+    side = lambda x: some.select("project_key", F.col("class_id").alias(f"id_{x}"), F.col("file").alias(f"f_{x}"))
     full = between.unionByName(within).join(side("a"), ["project_key", "id_a"]).join(side("b"), ["project_key", "id_b"])
     place = lambda c: F.struct(F.collate(c, "UNICODE"), F.col(c))
     full = full.withColumn("_swap", place("f_a") > place("f_b")).where((F.col("id_a") != F.col("id_b")) | (place("f_a") < place("f_b")))
@@ -265,8 +342,6 @@ def _no_lines() -> list[Column]:
 
 
 def _window(keys: list[str], order: list[Column]):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*keys).orderBy(*order)
 
 
@@ -274,44 +349,63 @@ def history_pairs(current: DataFrame, stored: DataFrame, threshold: float = 0.2,
     """Pairs of each current project's files with files stored for other projects, which are labelled as history.
 
     Exhaustive where files times stored files of others are at most 10,000 (or mode is "exact"), else over shared bands.
-    Files with equal sets of grams are joined once; of each such class only the files that the limit can need are put
-    back: the first ``limit`` of a current project, and of the stored ones the first ``limit`` of each project and twice
-    that in all, so that enough are left without the project's own.
+    Files with equal sets of grams, current or stored, are one set that is joined once; of each set only the files that
+    the limit can need are put back: the first ``limit`` of a current project, and of the stored ones the first ``limit``
+    of each project and twice that in all, so that enough are left without the project's own. Exact pairs are looked for
+    from the top, as in project_pairs().
     """
     n_all = stored.count() if mode == "auto" else 0
     counts = current.groupBy("project_key").agg(F.count("*").alias("n_cur"))
     own = stored.groupBy("project_key").agg(F.count("*").alias("n_own"))
     sizes = counts.join(own, "project_key", "left").withColumn("small", F.col("n_cur") * (F.lit(n_all) - F.coalesce("n_own", F.lit(0))) <= EXHAUSTIVE)
-    sha = F.sha2(F.array_join(F.array_sort("k_gram_hashes").cast("array<string>"), ","), 256)
-    cur = current.where(F.size("k_gram_hashes") > 0).join(sizes.select("project_key", "small"), "project_key").withColumn("sha_a", sha)
-    old = stored.where(F.size("k_gram_hashes") > 0).select(F.col("project_key").alias("from_key"), F.col("file").alias("from_file"), sha.alias("sha_b"), "k_gram_hashes", "signature")
-    cur_sets = cur.groupBy("project_key", "sha_a").agg(F.first("small").alias("small"), F.first("k_gram_hashes").alias("h_a"), F.first("signature").alias("signature"))
-    old_sets = old.groupBy("sha_b").agg(F.first("k_gram_hashes").alias("h_b"), F.first("signature").alias("signature"))
+    cur = current.where(F.size("k_gram_hashes") > 0).join(sizes.select("project_key", "small"), "project_key").withColumn("id", set_key("k_gram_hashes"))
+    old = stored.where(F.size("k_gram_hashes") > 0).withColumn("id", set_key("k_gram_hashes"))
+    sides = cur.select("id", "k_gram_hashes", "signature", F.lit(True).alias("cur"), F.lit(False).alias("old")).unionByName(old.select("id", "k_gram_hashes", "signature", F.lit(False).alias("cur"), F.lit(True).alias("old")))
+    sets = materialize(sides.groupBy("id").agg(F.first("k_gram_hashes").alias("k_gram_hashes"), F.first("signature").alias("signature"), F.max("cur").alias("cur"), F.max("old").alias("old")), "history-sets")
+    shared = shared_grams(sets, [], "id", "k_gram_hashes")
+    cur = materialize(cur.select("project_key", "file", "small", "id"), "history-current")
+    by_file = [F.collate("file_a", "UNICODE"), F.col("file_a")]
+    members_a = cur.select("project_key", F.col("id").alias("id_a"), F.col("file").alias("file_a")).withColumn("_r", F.row_number().over(_window(["project_key", "id_a"], by_file))).where(F.col("_r") <= limit).drop("_r")
+    members_b = old.select(F.col("id").alias("id_b"), F.col("project_key").alias("from_key"), F.col("file").alias("from_file")).withColumn("_r", F.row_number().over(_window(["id_b", "from_key"], [F.col("from_file")]))).where(F.col("_r") <= limit)
+    members_b = materialize(members_b.withColumn("_r", F.row_number().over(_window(["id_b"], [F.col("from_key"), F.col("from_file")]))).where(F.col("_r") <= 2 * limit).drop("_r"), "history-members")
+    order = [F.desc("jaccard"), F.desc("matching_k_grams"), *by_file, F.col("from_key"), F.col("from_file")]
+
+    def best(found: DataFrame, projects: DataFrame | None, equal: DataFrame) -> DataFrame:
+        """The first ``limit`` rows of ``projects`` (all if None) from pairs of sets, in both directions, and equal sets."""
+        turned = found.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "jaccard", "matching_k_grams")
+        both = found.select("id_a", "id_b", "jaccard", "matching_k_grams").unionByName(turned).unionByName(equal)
+        wanted = members_a if projects is None else members_a.join(projects, "project_key", "left_semi")
+        full = both.join(wanted, "id_a").join(members_b, "id_b").where("project_key <> from_key")
+        return full.withColumn("seq", F.row_number().over(_window(["project_key"], order))).where(F.col("seq") <= limit)
+
+    equal = sets.where("cur and old").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.size("k_gram_hashes").cast("bigint").alias("matching_k_grams"))
     parts = []
     if mode in ("exact", "auto"):
-        wanted = (cur_sets.where("small") if mode == "auto" else cur_sets).select("sha_a", "h_a").dropDuplicates(["sha_a"])
-        both = wanted.select(F.concat(F.lit("a"), F.col("sha_a")).alias("id"), F.col("h_a").alias("h")).union(old_sets.select(F.concat(F.lit("b"), F.col("sha_b")), "h_b"))
-        prefix = prefixes(both, [], ["id"], "h", threshold)
-        a, b = prefix.where(F.col("id").startswith("a")).alias("a"), prefix.where(F.col("id").startswith("b")).alias("b")
-        met = a.join(b, [F.col("a.h") == F.col("b.h"), _sizes_fit("a.n", "b.n", threshold)])
-        met = met.select(F.substring("a.id", 2, 64).alias("sha_a"), F.substring("b.id", 2, 64).alias("sha_b")).distinct()
-        keys = (cur_sets.where("small") if mode == "auto" else cur_sets).select("project_key", "sha_a")
-        parts.append(keys.join(met, "sha_a").select("project_key", "sha_a", "sha_b"))
+        left = materialize(cur.where("small").select("project_key").distinct() if mode == "auto" else cur.select("project_key").distinct(), "history-left")
+        for t in _thresholds(threshold):
+            wanted = cur.join(left, "project_key", "left_semi").select("id").distinct().withColumn("wanted", F.lit(True))
+            marked = shared.join(sets.select("id", "old"), "id").join(wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+            either = (F.col("a.wanted") & F.col("b.old")) | (F.col("b.wanted") & F.col("a.old"))
+            found = verified(candidate_pairs(marked, [], t, ("old", "wanted"), either), shared, [], t)
+            top = materialize(best(found, left, equal), "history-pairs")
+            if t != threshold:
+                done = materialize(top.groupBy("project_key").agg(F.count("*").alias("k")).where(F.col("k") >= limit).select("project_key"), "complete")
+                parts.append(top.join(done, "project_key", "left_semi"))
+                left = materialize(left.join(done, "project_key", "left_anti"), "history-left")
+                if left.isEmpty():
+                    break
+            else:
+                parts.append(top)
     if mode in ("lsh", "auto"):
-        a = bands(cur_sets.where("not small") if mode == "auto" else cur_sets, ["project_key", "sha_a"])
-        parts.append(a.join(bands(old_sets, ["sha_b"]), ["band", "band_key"]).select("project_key", "sha_a", "sha_b").distinct())
-    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    full = pairs.join(cur_sets.select("project_key", "sha_a", "h_a"), ["project_key", "sha_a"]).join(old_sets.select("sha_b", "h_b"), "sha_b")
-    m = F.size(F.array_intersect("h_a", "h_b")).cast("bigint")
-    full = full.select("project_key", "sha_a", "sha_b", m.alias("matching_k_grams"), jaccard(m, F.size("h_a"), F.size("h_b")).alias("jaccard"))
-    full = full.where((F.col("matching_k_grams") > 0) & (F.col("jaccard") >= threshold))
-    by_file = [F.collate("file_a", "UNICODE"), F.col("file_a")]
-    members_a = cur.select("project_key", "sha_a", F.col("file").alias("file_a")).withColumn("_r", F.row_number().over(_window(["project_key", "sha_a"], by_file))).where(F.col("_r") <= limit).drop("_r")
-    members_b = old.select("sha_b", "from_key", "from_file").withColumn("_r", F.row_number().over(_window(["sha_b", "from_key"], [F.col("from_file")]))).where(F.col("_r") <= limit)
-    members_b = members_b.withColumn("_r", F.row_number().over(_window(["sha_b"], [F.col("from_key"), F.col("from_file")]))).where(F.col("_r") <= 2 * limit).drop("_r")
-    full = full.join(members_a, ["project_key", "sha_a"]).join(members_b, "sha_b").where("project_key <> from_key")
-    order = [F.desc("jaccard"), F.desc("matching_k_grams"), *by_file, F.col("from_key"), F.col("from_file")]
-    top = full.withColumn("seq", F.row_number().over(_window(["project_key"], order))).where(F.col("seq") <= limit)
+        large = materialize(cur.where("not small").select("project_key").distinct() if mode == "auto" else cur.select("project_key").distinct(), "history-large")
+        ids = cur.join(large, "project_key", "left_semi").select("id").distinct()
+        keyed = bands(sets.join(ids, "id", "left_semi"), ["id"]).select("band", "band_key", F.col("id").alias("id_a"))
+        met = keyed.join(bands(sets.where("old"), ["id"]).select("band", "band_key", F.col("id").alias("id_b")), ["band", "band_key"]).where("id_a <> id_b")
+        pairs = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+        parts.append(best(verified(pairs, shared, [], threshold), large, equal))
+    top = parts[0]
+    for part in parts[1:]:
+        top = top.unionByName(part)
     label = F.concat(F.lit("history/"), F.col("from_key"), F.lit("/"), F.col("from_file"))
     return top.select("project_key", "file_a", label.alias("file_b"), F.lit("file").alias("kind"), "jaccard", "matching_k_grams", *_no_lines(), "seq")
 
@@ -322,13 +416,11 @@ def cloned_files(fps: DataFrame, threshold: float = 0.2) -> DataFrame:
     Files of equal gram sets are one class whatever their project; a class of two or more, or one that meets another,
     is cloned as a whole, so no pair of files is made.
     """
-    named = fps.where(F.size("k_gram_hashes") > 0).withColumn("_id", F.concat_ws("\0", "project_key", "file"))
-    grouped = classes(named, [], "_id", "k_gram_hashes")
-    reps = grouped.where("_id = class_id")
-    met = verified(candidate_pairs(reps, [], "class_id", "k_gram_hashes", threshold), reps, [], "class_id", "k_gram_hashes", threshold)
-    copies = grouped.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    cloned = met.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).union(copies).distinct()
-    files = grouped.join(cloned, "class_id", "left_semi")
+    named = fps.where(F.size("k_gram_hashes") > 0).withColumn("id", set_key("k_gram_hashes"))
+    sets = materialize(named.groupBy("id").agg(F.first("k_gram_hashes").alias("k_gram_hashes"), F.count("*").alias("n_files")), "cloned-sets")
+    met = similar_pairs(sets, [], "id", "k_gram_hashes", threshold)
+    cloned = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).union(sets.where("n_files > 1").select("id")).distinct()
+    files = named.select("project_key", "file", "id").join(cloned, "id", "left_semi")
     return files.select("project_key", F.col("file").alias("file_a"), F.col("file").alias("file_b"), F.lit("file").alias("kind"), F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("bigint").alias("matching_k_grams"), *_no_lines())
 
 

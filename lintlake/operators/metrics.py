@@ -12,8 +12,19 @@ from .languages import types
 FUNCTION_TYPE = "array<struct<name:string,startLine:bigint,endLine:bigint,complexity:bigint,lines:bigint,nestingDepth:bigint,paramCount:bigint>>"
 
 
+def with_text_rows(df: DataFrame) -> DataFrame:
+    """``df`` with the content's rows as the parser counts them, which node_text() reads."""
+    return df.withColumn("_text", F.split("content", "\n", -1))
+
+
 def node_text(node: Column) -> Column:
-    return F.substring(F.col("content"), node["start_off"] + 1, node["end_off"] - node["start_off"])
+    """The source of a node, from the rows it spans: the work is that of the node's length, wherever it lies in the file."""
+    row = lambda i: F.get("_text", node[i])
+    one = F.substring(row("start_row"), node["start_col"] + 1, node["end_col"] - node["start_col"])
+    first = F.substring(row("start_row"), node["start_col"] + 1, F.lit((1 << 31) - 1))
+    between = F.slice("_text", node["start_row"] + 2, F.greatest(F.lit(0), node["end_row"] - node["start_row"] - 1))
+    many = F.array_join(F.concat(F.array(first), between, F.array(F.substring(row("end_row"), F.lit(1), node["end_col"]))), "\n")
+    return F.when(node["start_row"] == node["end_row"], one).otherwise(many)
 
 
 def below(node: Column) -> Column:
@@ -29,15 +40,6 @@ def _size(array: Column) -> Column:
     return F.size(array).cast("bigint")
 
 
-def _name(fn: Column) -> Column:
-    """The name field; else, through declarators, the declared name."""
-    named = F.get(F.filter(below(fn), lambda n: (n["parent"] == fn["pre"]) & (n["field"] == "name")), F.lit(0))
-    declarators = F.filter(below(fn), lambda n: (n["field"] == "declarator") & ~n["type"].contains("parameter"))
-    first = F.get(F.filter(declarators, lambda n: n["parent"] == fn["pre"]), F.lit(0))
-    inner = F.get(F.filter(declarators, lambda n: n["parent"] == first["pre"]), F.lit(0))
-    return F.coalesce(F.when(named.isNotNull(), node_text(named)), F.when(inner.isNotNull(), node_text(inner)), F.when(first.isNotNull(), node_text(first)), F.lit("<anonymous>"))
-
-
 def _complexity(fn: Column) -> Column:
     decisions = _size(F.filter(below(fn), lambda n: n["named"] & F.array_contains(F.col("_decision"), n["type"])))
     logical = F.filter(subtree(fn), lambda n: n["type"] == "binary_expression")
@@ -63,7 +65,7 @@ def functions() -> Column:
     """Function metrics in pre-order; nested functions are rows of their own and count in the outer one too."""
     found = F.filter("nodes", lambda n: n["named"] & F.array_contains(F.col("_function"), n["type"]))
     row = lambda n: F.struct(
-        _name(n).alias("name"),
+        F.coalesce(n["name"], F.lit("<anonymous>")).alias("name"),
         (n["start_row"] + 1).cast("bigint").alias("startLine"),
         (n["end_row"] + 1).cast("bigint").alias("endLine"),
         _complexity(n).cast("bigint").alias("complexity"),
@@ -77,7 +79,7 @@ def functions() -> Column:
 def file_metrics(parsed: DataFrame) -> DataFrame:
     """One row per file of ``parsed`` (with content and nodes): counts, density and nested functions. No shuffle."""
     kinds = {f"_{k}": types(k) for k in ("function", "class", "import", "comment", "decision", "nesting", "parameter")}
-    df = parsed.withColumns({"content": F.coalesce("content", F.lit("")), **kinds}).withColumns({"_lines": X.lines(F.col("content"))})
+    df = with_text_rows(parsed.withColumns({"content": F.coalesce("content", F.lit("")), **kinds})).withColumns({"_lines": X.lines(F.col("content"))})
     comments = F.filter("nodes", lambda n: F.array_contains(F.col("_comment"), n["type"]))
     rows = F.array_distinct(F.flatten(F.transform(comments, lambda n: F.sequence(n["start_row"], n["end_row"]))))
     df = df.withColumn("_rows", rows)
@@ -104,8 +106,11 @@ def max_complexity() -> Column:
     return F.coalesce(F.array_max(F.transform("functions", lambda f: f["complexity"])), F.lit(0))
 
 
-def project_metrics(files: DataFrame, clone_rates: DataFrame, profile: ScoreProfile) -> DataFrame:
-    """The eleven aggregates of each project. Ratios are of sums; thresholds count strictly larger values, 0 if not set."""
+def project_metrics(files: DataFrame, clone_rates: DataFrame, profile: ScoreProfile, keys: DataFrame | None = None) -> DataFrame:
+    """The eleven aggregates of each project. Ratios are of sums; thresholds count strictly larger values, 0 if not set.
+
+    ``keys`` (project_key): projects that get a row of zeros where they have no files.
+    """
 
     def above(metric: str, field: str) -> Column:
         rule = profile.metric_rules.get(metric)
@@ -127,4 +132,6 @@ def project_metrics(files: DataFrame, clone_rates: DataFrame, profile: ScoreProf
         above("maxFunctionLines", "lines").alias("overLongFunctions"),
         above("maxNestingDepth", "nestingDepth").alias("deeplyNestedFunctions"),
     )
+    if keys is not None:
+        rolled = keys.select("project_key").distinct().join(rolled, "project_key", "left").fillna(0)
     return rolled.join(clone_rates.select("project_key", F.col("clone_rate").alias("cloneRate")), "project_key", "left").withColumn("cloneRate", F.coalesce("cloneRate", F.lit(0.0)))

@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .metrics import node_text
+from .metrics import node_text, with_text_rows
 
 #: Word boundaries as JavaScript has them: between an ASCII word sign and anything else.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Any white space, beyond ASCII too (``\s`` stands for ASCII alone here).
+SP = rf"{X.BLANK}*"
 # Patterns of the text rules.
 CREDENTIAL = r"(?i)(?:password|passwd|secret|token|api[_-]?key|credential)"
 QUOTED = r"""["'][^"']+["']"""
 READERS = rf"(?:FileInputStream|FileReader|BufferedReader){RIGHT}"
-FINDING = "struct<ruleId:string,severity:string,type:string,row:int,col:int,message:string,ord:int>"
+FINDING = "struct<ruleId:string,severity:string,type:string,row:int,col:int,message:string,ord:bigint>"
 
 
 @dataclass(frozen=True)
@@ -58,11 +60,11 @@ def _type(name: str, *patterns: str, no: str | None = None) -> Callable[[Column]
 
 
 def _bare_except(n: Column) -> Column:
-    return (n["type"] == "except_clause") & (X.trimmed(node_text(n)).rlike(r"^except\s*:") | node_text(n).rlike(r"except\s+Exception\s*:"))
+    return (n["type"] == "except_clause") & (X.trimmed(node_text(n)).rlike(rf"^except{SP}:") | node_text(n).rlike(rf"except{X.BLANK}+Exception{SP}:"))
 
 
 def _open(n: Column) -> Column:
-    return (n["type"] == "call") & node_text(n).rlike(r"^open\s*\(") & ~F.coalesce(_parent(n)["type"].contains("with"), F.lit(False))
+    return (n["type"] == "call") & node_text(n).rlike(rf"^open{SP}\(") & ~F.coalesce(_parent(n)["type"].contains("with"), F.lit(False))
 
 
 def _tuple(n: Column) -> Column:
@@ -70,11 +72,11 @@ def _tuple(n: Column) -> Column:
 
 
 def _switch(n: Column) -> Column:
-    return n["type"].isin("switch_statement", "switch_expression") & n["named"] & ~node_text(n).rlike(rf"{LEFT}default\s*:")
+    return n["type"].isin("switch_statement", "switch_expression") & n["named"] & ~node_text(n).rlike(rf"{LEFT}default{SP}:")
 
 
 def _leak(n: Column) -> Column:
-    return n["type"].isin("local_variable_declaration", "object_creation_expression") & node_text(n).rlike(READERS) & ~F.col("content").rlike(r"\.close\s*\(")
+    return n["type"].isin("local_variable_declaration", "object_creation_expression") & node_text(n).rlike(READERS) & ~F.col("content").rlike(rf"\.close{SP}\(")
 
 
 # Identifiers, severities, types and limits of the rules.
@@ -91,14 +93,14 @@ def _many(f: Column) -> Column:
 
 RULES = (
     Rule("py-eval", "CRITICAL", "VULNERABILITY", "python", "Code is run from text by eval or exec", _called("eval", "exec", call="call"), needs="eval|exec"),
-    Rule("py-shell-true", "CRITICAL", "VULNERABILITY", "python", "A command is run through the shell", _type("call", rf"{LEFT}shell\s*=\s*True{RIGHT}"), needs="shell"),
+    Rule("py-shell-true", "CRITICAL", "VULNERABILITY", "python", "A command is run through the shell", _type("call", rf"{LEFT}shell{SP}={SP}True{RIGHT}"), needs="shell"),
     Rule("py-bare-except", "MAJOR", "BUG", "python", "All exceptions are caught", _bare_except, needs="except"),
     Rule("py-hardcoded-secret", "CRITICAL", "VULNERABILITY", "python", "A credential may be written in the source", _secret, needs=CREDENTIAL),
     Rule("py-open-no-close", "MAJOR", "BUG", "python", "A file is opened outside a with statement", _open, needs="open"),
     Rule("py-assert-on-tuple", "MAJOR", "BUG", "python", "An assertion on a tuple always holds", _tuple, needs="assert"),
     Rule("py-long-func", "MINOR", "CODE_SMELL", "python", "The function is too long", _long, True),
     Rule("py-too-many-params", "MINOR", "CODE_SMELL", "python", "The function has too many parameters", _many, True),
-    Rule("java-empty-catch", "MAJOR", "BUG", "java", "An exception is caught and ignored", _type("catch_clause", r"\{\s*\}"), needs="catch"),
+    Rule("java-empty-catch", "MAJOR", "BUG", "java", "An exception is caught and ignored", _type("catch_clause", rf"\{{{SP}\}}"), needs="catch"),
     Rule("java-hardcoded-cred", "CRITICAL", "VULNERABILITY", "java", "A credential may be written in the source", _secret, needs=CREDENTIAL),
     Rule("java-switch-no-default", "MAJOR", "BUG", "java", "The switch has no default branch", _switch, needs="switch"),
     Rule("java-long-method", "MINOR", "CODE_SMELL", "java", "The method is too long", _long, True),
@@ -107,10 +109,10 @@ RULES = (
     Rule("java-resource-leak", "MAJOR", "BUG", "java", "A stream or reader may stay open", _leak, needs=READERS),
     Rule("c-gets", "CRITICAL", "VULNERABILITY", "c", "gets cannot bound its input", _called("gets", call="call_expression"), needs="gets"),
     Rule("c-sprintf-overflow", "CRITICAL", "BUG", "c", "sprintf cannot bound its output", _called("sprintf", call="call_expression"), needs="sprintf"),
-    Rule("c-null-check-after-deref", "MAJOR", "BUG", "c", "A pointer is used where it is not checked for null", _type("if_statement", r"\*\s*[A-Za-z_]\w*", no=rf"{LEFT}if\s*\([^)]*!\s*[A-Za-z_]\w*"), needs="if"),
-    Rule("c-div-zero", "MAJOR", "BUG", "c", "A division by zero", _type("binary_expression", rf"/\s*0(?:{RIGHT}|\.)"), needs="/"),
+    Rule("c-null-check-after-deref", "MAJOR", "BUG", "c", "A pointer is used where it is not checked for null", _type("if_statement", rf"\*{SP}[A-Za-z_]\w*", no=rf"{LEFT}if{SP}\([^)]*!{SP}[A-Za-z_]\w*"), needs="if"),
+    Rule("c-div-zero", "MAJOR", "BUG", "c", "A division by zero", _type("binary_expression", rf"/{SP}0(?:{RIGHT}|\.)"), needs="/"),
     Rule("c-hardcoded-secret", "CRITICAL", "VULNERABILITY", "c", "A credential may be written in the source", _secret, needs=CREDENTIAL),
-    Rule("c-resource-leak", "MAJOR", "BUG", "c", "Memory is allocated and never freed", _type("translation_unit", rf"{LEFT}malloc\s*\(", no=rf"{LEFT}free\s*\("), needs="malloc"),
+    Rule("c-resource-leak", "MAJOR", "BUG", "c", "Memory is allocated and never freed", _type("translation_unit", rf"{LEFT}malloc{SP}\(", no=rf"{LEFT}free{SP}\("), needs="malloc"),
     Rule("c-long-func", "MINOR", "CODE_SMELL", "c", "The function is too long", _long, True),
     Rule("c-too-many-params", "MINOR", "CODE_SMELL", "c", "The function has too many parameters", _many, True),
 )
@@ -128,7 +130,10 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def _of_rule(rule: Rule, ord_: int) -> Column:
-    row = lambda place, message: F.struct(F.lit(rule.rule_id), F.lit(rule.severity), F.lit(rule.type), place["start_row"], place["start_col"], message, F.lit(ord_))
+    def row(place: Column, message: Column, nth: Column) -> Column:
+        """A finding; of one rule those of later functions come later."""
+        return F.struct(F.lit(rule.rule_id), F.lit(rule.severity), F.lit(rule.type), place["start_row"], place["start_col"], message, F.lit(ord_ * 1_000_000) + nth)
+
     if rule.on_functions:
 
         def located(f: Column) -> Column:
@@ -136,9 +141,9 @@ def _of_rule(rule: Rule, ord_: int) -> Column:
             same = F.filter("nodes", lambda n: n["named"] & (n["start_row"] + 1 == f["startLine"]) & (n["end_row"] + 1 == f["endLine"]))
             return F.get(same, F.lit(0))
 
-        found = F.transform(F.filter("functions", rule.matches), lambda f: row(located(f), F.concat(F.lit(f"{rule.description}: "), f["name"])))
+        found = F.transform(F.filter("functions", rule.matches), lambda f, i: row(located(f), F.concat(F.lit(f"{rule.description}: "), f["name"]), i))
     else:
-        found = F.transform(F.filter("nodes", lambda n: F.coalesce(rule.matches(n), F.lit(False))), lambda n: row(n, F.lit(rule.description)))
+        found = F.transform(F.filter("nodes", lambda n: F.coalesce(rule.matches(n), F.lit(False))), lambda n, _: row(n, F.lit(rule.description), F.lit(0)))
     holds = F.col("language") == rule.language
     if rule.needs:
         holds = holds & F.col("content").rlike(rule.needs)
@@ -151,7 +156,7 @@ def findings(parsed: DataFrame, metrics: DataFrame) -> DataFrame:
     Columns: project_key, id, ruleId, severity, type, file, line, column, message, snippet. ``metrics`` gives the
     functions of each file; it is joined on project and file.
     """
-    df = parsed.withColumn("content", F.coalesce("content", F.lit(""))).join(metrics.select("project_key", "file", "functions"), ["project_key", "file"])
+    df = with_text_rows(parsed.withColumn("content", F.coalesce("content", F.lit("")))).join(metrics.select("project_key", "file", "functions"), ["project_key", "file"])
     rows = F.split("content", "\r\n|\r|\n", -1)
     found = df.select("project_key", "file", rows.alias("_rows"), F.explode(F.flatten(F.array(*[_of_rule(r, i) for i, r in enumerate(all_rules())]))).alias("f"))
     made = found.select(

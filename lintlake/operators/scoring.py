@@ -70,5 +70,10 @@ def gate(deducted: DataFrame, profile: ScoreProfile, pass_score: float | None =
     return df.select("project_key", F.lit(profile.profile_id).alias("profile_id"), F.lit(profile.version).alias("profile_version"), F.lit(profile.provenance).alias("provenance"), "score", F.lit(100.0).alias("max_score"), F.lit(line).alias("pass_score"), "passed", "deductions", reasons.alias("failure_reasons"))
 
 
+def score_percent(score: Column, most: Column) -> Column:
+    """The share of a score that a ring shows, 0 to 100."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score / most * 100))
+
+
 def score_projects(projects: DataFrame, files: DataFrame, findings: DataFrame, profile: ScoreProfile, pass_score: float | None = None) -> DataFrame:
     return gate(deductions(projects, files, findings, profile), profile, pass_score)

@@ -145,3 +145,33 @@ def checked_project_key(key: str | None) -> str:
     if not key:
         raise ValueError("a project key is needed")
     return key
+
+
+#: Fixed value: the longest project name that a form takes.
+NAME_LIMIT = 20
+
+
+def short_project_key(key: str) -> str:
+    """A key as a form takes it."""
+    return key.strip()[:NAME_LIMIT]
+
+
+def default_project_key(file_name: str) -> str:
+    """The key that a form proposes for an upload: its base name without the last extension."""
+    base = file_name.replace("\\", "/").rpartition("/")[2]
+    stem, dot, extension = base.rpartition(".")
+    return short_project_key(stem if dot and extension else base)
+
+
+def custom_from_form(severities: dict[str, str], metrics: dict[str, tuple[str, str]], pass_score: str) -> CustomProfile | None:
+    """A custom profile from the texts of a form; the clone rate's threshold is entered in percent."""
+
+    def number(text: str) -> float | None:
+        try:
+            return float(text.strip() or "0")
+        except ValueError:
+            return None
+
+    share = lambda name, value: value / 100 if name == "cloneRate" and value is not None else value
+    rules = {k: {"threshold": share(k, number(t)), "penalty": number(p)} for k, (t, p) in metrics.items()}
+    return CustomProfile.from_value({"findingPenalties": {k: number(v) for k, v in severities.items()}, "metrics": rules, "passScore": number(pass_score)})

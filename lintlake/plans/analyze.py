@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import report as R
 from ..operators import blocks, clones, metrics, rules, scoring, store
-from ..options import DEFAULT_PROFILE, ScanOptions, checked_project_key
+from ..options import DEFAULT_PROFILE, ScanOptions, checked_project_key, default_project_key
 from ..parse.udf import parse
 from ..schemas import FINGERPRINTS, PAIRS
 from ..sources import listing
@@ -47,10 +47,12 @@ class Analysis:
             df.unpersist()
 
 
-def analyze_files(files: DataFrame, options: ScanOptions | None = None, store_path: str | None = None, mode: str = "auto") -> Analysis:
+def analyze_files(files: DataFrame, options: ScanOptions | None = None, store_path: str | None = None, mode: str = "auto", keys: DataFrame | None = None) -> Analysis:
     """Analyse ``files`` (project_key, file, language, content) of any number of projects at once.
 
-    Branches that the options switch off are not built. The history is that of other projects; a store that cannot be
+    ``mode`` of pairing: "exact" finds every pair, "auto" does so up to 10,000 pairs of files and goes by LSH bands above
+    (which miss most pairs of low similarity), "lsh" always goes by bands. ``keys`` (project_key) names projects that are
+    reported even if they have no files. Branches that the options switch off are not built. The history is that of other projects; a store that cannot be
     read counts as empty.
     """
     options = options or ScanOptions()
@@ -72,22 +74,21 @@ def analyze_files(files: DataFrame, options: ScanOptions | None = None, store_pa
         pairs = spark.createDataFrame([], PAIRS).select(F.lit("").alias("project_key"), "*", F.lit(0).alias("seq"))
     found, pairs = found.persist(StorageLevel.MEMORY_AND_DISK), pairs.persist(StorageLevel.MEMORY_AND_DISK)
     rates = clones.clone_rate(pairs, per_file)
-    projects = metrics.project_metrics(per_file, rates, profile)
+    projects = metrics.project_metrics(per_file, rates, profile, keys)
     scores = scoring.score_projects(projects, per_file, found, profile, options.pass_score) if options.scoring else None
     return Analysis(per_file, found, prints, pairs, projects, scores, [parsed, per_file, found, prints, pairs])
 
 
 def _finish(analysis: Analysis, key: str, source_name: str, started: float) -> dict[str, Any]:
-    rows = analysis.reports().where(F.col("project_key") == key).collect()
-    empty = {"totalLines": 0, "ncloc": 0, "commentLines": 0, "commentDensity": 0.0, "functionCount": 0, "classCount": 0, "avgComplexity": 0.0, "maxComplexity": 0, "overComplexFunctions": 0, "overLongFunctions": 0, "deeplyNestedFunctions": 0, "cloneRate": 0.0}
-    out = json.loads(rows[0]["report"]) if rows else {"projectKey": key, "metrics": empty, "fileMetrics": [], "findings": [], "clonePairs": []}
+    out = json.loads(analysis.reports().where(F.col("project_key") == key).first()["report"])
     return out | {"sourceName": source_name, "scannedAt": datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "durationMs": int((time.time() - started) * 1000)}
 
 
-def analyze_entries(entries: DataFrame, project_key: str, options: ScanOptions | None = None, store_path: str | None = None, source_name: str = "") -> dict[str, Any]:
-    """The report of one project; its fingerprints replace those stored before. A store that fails only warns."""
+def analyze_entries(entries: DataFrame, project_key: str, options: ScanOptions | None = None, store_path: str | None = None, source_name: str = "", mode: str = "auto") -> dict[str, Any]:
+    """The report of one project, also of one without files; ``mode`` as in analyze_files(). Its fingerprints replace those stored before. A store that fails only warns."""
     started, key, options = time.time(), checked_project_key(project_key), options or ScanOptions()
-    analysis = analyze_files(listing.discovered(entries, key, options.languages), options, store_path)
+    keys = entries.sparkSession.createDataFrame([(key,)], "project_key string")
+    analysis = analyze_files(listing.discovered(entries, key, options.languages), options, store_path, mode, keys)
     try:
         out = _finish(analysis, key, source_name, started)
         if store_path:
@@ -100,10 +101,11 @@ def analyze_entries(entries: DataFrame, project_key: str, options: ScanOptions |
         analysis.release()
 
 
-def analyze_directory(spark: SparkSession, root: str, project_key: str, options: ScanOptions | None = None, store_path: str | None = None) -> dict[str, Any]:
-    return analyze_entries(listing.directory(spark, root), project_key, options, store_path, root)
+def analyze_directory(spark: SparkSession, root: str, project_key: str, options: ScanOptions | None = None, store_path: str | None = None, mode: str = "auto") -> dict[str, Any]:
+    return analyze_entries(listing.directory(spark, root), project_key, options, store_path, root, mode)
 
 
-def analyze_upload(spark: SparkSession, path: str, original_name: str, project_key: str, options: ScanOptions | None = None, store_path: str | None = None) -> dict[str, Any]:
-    """A ZIP, by its original name, or one source file."""
-    return analyze_entries(listing.upload(spark, path, original_name), project_key, options, store_path, original_name)
+def analyze_upload(spark: SparkSession, path: str, original_name: str, project_key: str | None = None, options: ScanOptions | None = None, store_path: str | None = None, mode: str = "auto") -> dict[str, Any]:
+    """A ZIP, by its original name, or one source file. Without a project key the upload's name gives one."""
+    key = default_project_key(original_name) if project_key is None else project_key
+    return analyze_entries(listing.upload(spark, path, original_name), key, options, store_path, original_name, mode)

@@ -239,6 +239,10 @@ def q16(spark, d):
     return clones.bands(T.signed_sets(spark, d), ["file"])
 
 
+def _representatives(sets):
+    return clones.representatives(sets, clones.classes(sets, ["project_key"], "file", "k_gram_hashes"), ["project_key"], "file")
+
+
 @query(
     "q17_lsh_candidates",
     f"""WITH {S.GRAMS}, {S.SIGNATURE}, {S.BANDS},
@@ -247,8 +251,7 @@ rep AS (SELECT bands.* FROM bands JOIN cls ON cls.project_key = bands.project_ke
 SELECT DISTINCT a.project_key, a.file AS id_a, b.file AS id_b FROM rep a JOIN rep b ON a.project_key = b.project_key AND a.band = b.band AND a.band_key = b.band_key AND a.file < b.file""",
 )
 def q17(spark, d):
-    sets = clones.classes(T.signed_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
-    return clones.lsh_pairs(sets.where("file = class_id"), ["project_key"], "file")
+    return clones.lsh_pairs(_representatives(T.signed_sets(spark, d)), ["project_key"], "file")
 
 
 CLASSES = "cls AS MATERIALIZED (SELECT project_key, file, min(file) OVER (PARTITION BY project_key, k) AS class_id FROM (SELECT project_key, file, list_sort(list(h)) AS k FROM grams GROUP BY ALL))"
@@ -263,20 +266,20 @@ SEMI JOIN (SELECT project_key, class_id FROM cls) y ON y.project_key = good.proj
 )
 def q18(spark, d):
     """Pairs between representatives of equal gram sets; q18_classes has the membership."""
-    sets = clones.classes(T.token_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
-    reps = sets.where("file = class_id")
-    pairs = clones.candidate_pairs(reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
-    return clones.verified(pairs, reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
+    return clones.similar_pairs(_representatives(T.token_sets(spark, d)), ["project_key"], "file", "k_gram_hashes", 0.2)
 
 
 @query("q18_classes", f"WITH {S.GRAMS}, {CLASSES} SELECT project_key, file, class_id FROM cls")
 def q18_classes(spark, d):
-    return clones.classes(T.token_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes").select("project_key", "file", "class_id")
+    return clones.classes(T.token_sets(spark, d), ["project_key"], "file", "k_gram_hashes").drop("n")
+
 
+def _sets(spark, d):
+    return T.token_sets(spark, d).withColumn("signature", F.array().cast("array<bigint>"))
 
-def _top(spark, d):
-    sets = T.token_sets(spark, d).withColumn("signature", F.array().cast("array<bigint>"))
-    return clones.project_pairs(sets, 0.2, mode="exact")
+
+def _top(spark, d, sets=None):
+    return clones.project_pairs(sets or _sets(spark, d), 0.2, mode="exact")
 
 
 @query("q19_top_pairs", f"WITH {S.GRAMS}, {S.PAIRS}, {S.TOP} SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS matching_k_grams, CAST(seq AS BIGINT) AS seq FROM top")
@@ -291,8 +294,8 @@ hist AS MATERIALIZED (SELECT project_key, file_a, 'history/' || from_key || '/'
 """
 
 
-def _history(spark, d):
-    sets = T.token_sets(spark, d).withColumn("signature", F.array().cast("array<bigint>"))
+def _history(spark, d, sets=None):
+    sets = sets or _sets(spark, d)
     return clones.history_pairs(sets, sets, 0.2, mode="exact")
 
 
@@ -344,7 +347,8 @@ def _blocks(spark, d, most=blocks.PER_FILE):
 
 def _merged(spark, d):
     """The report's list: blocks, own pairs and history; read in several branches, so written once."""
-    return materialize(clones.merged_pairs(_blocks(spark, d), _top(spark, d), _history(spark, d)), "merged")
+    sets = _sets(spark, d)
+    return materialize(clones.merged_pairs(_blocks(spark, d), _top(spark, d, sets), _history(spark, d, sets)), "merged")
 
 
 def _merged_rates(spark, d):
@@ -518,7 +522,7 @@ def q32(spark, d):
     files = docs.select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), big(F.col("n_chars")).alias("n_chars"))
     valid = F.from_json("props", "map<string,string>").isNotNull()
     n = T.read(spark, d, "events").agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("n"))
-    return files.join(projects, "project_key").withColumn("n_props", F.lit(n.first()["n"]).cast("bigint")).select("project_key", "updated", "file", "n_chars", "n_props").orderBy("project_key", "file")
+    return files.join(projects, "project_key").crossJoin(n.select(big(F.col("n")).alias("n_props"))).select("project_key", "updated", "file", "n_chars", "n_props").orderBy("project_key", "file")
 
 
 @query(
@@ -551,8 +555,8 @@ def q34(spark, d):
 @query("q35_pagination", "SELECT doc_id, source, CAST((SELECT greatest(1, ceil(count(*) / 10)) FROM documents) AS BIGINT) AS pages FROM documents ORDER BY doc_id LIMIT 10 OFFSET 20")
 def q35(spark, d):
     docs = T.read(spark, d, "documents")
-    pages = docs.agg(views.page_count(F.count("*")).alias("n")).first()["n"]
-    return views.page(docs.select("doc_id", "source"), 3, F.col("doc_id")).withColumn("pages", F.lit(pages).cast("bigint"))
+    pages = docs.agg(views.page_count(F.count("*")).alias("pages"))
+    return views.page(docs.select("doc_id", "source"), 3, F.col("doc_id")).crossJoin(pages)
 
 
 @query("q36_distinct_files", f"WITH {S.FOUND} SELECT DISTINCT file FROM finding ORDER BY file")
@@ -584,9 +588,11 @@ def q38(spark, d):
     return T.read(spark, d, "pages").select("page_id", X.escape_html(text).alias("escaped"), X.location(u, F.when(n % 2 == 0, n), n + 1).alias("location"), X.report_name(u).alias("file_name"))
 
 
-@query("q38_numbers")
+@query(
+    "q38_numbers",
+    "SELECT l_orderkey, l_linenumber, format('{:,.2f}', round(l_extendedprice, 2)) AS price, format('{:,.0f}', round(l_quantity, 0)) AS quantity, format('{:,.1f}', round(l_discount * 100, 1)) || '%' AS discount FROM lineitem",
+)
 def q38_numbers(spark, d):
-    """Grouped numbers and percents; checked against a plain version in the tests."""
     df = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.number(F.col("l_extendedprice"), 2).alias("price"), X.number(F.col("l_quantity")).alias("quantity"), X.percent(F.col("l_discount")).alias("discount"))
     return df
 
@@ -611,9 +617,8 @@ SELECT CAST(floor(jaccard * 10 + 1e-9) AS BIGINT) AS tenth, CAST(count(*) AS BIG
 FROM g LEFT JOIN lsh ON lsh.project_key = g.project_key AND lsh.file_a = g.file_a AND lsh.file_b = g.file_b GROUP BY 1""",
 )
 def q40(spark, d):
-    sets = clones.classes(T.signed_sets(spark, d).where(F.size("k_gram_hashes") > 0), ["project_key"], "file", "k_gram_hashes")
-    reps = sets.where("file = class_id")
-    exact = clones.verified(clones.candidate_pairs(reps, ["project_key"], "class_id", "k_gram_hashes", 0.2), reps, ["project_key"], "class_id", "k_gram_hashes", 0.2)
+    reps = _representatives(T.signed_sets(spark, d))
+    exact = clones.similar_pairs(reps, ["project_key"], "file", "k_gram_hashes", 0.2)
     lsh = clones.lsh_pairs(reps, ["project_key"], "file").withColumn("hit", F.lit(1))
     both = exact.join(lsh, ["project_key", "id_a", "id_b"], "left")
     return both.groupBy(big(F.floor(F.col("jaccard") * 10 + 1e-9)).alias("tenth")).agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
@@ -628,7 +633,8 @@ SELECT project_key, file_a, file_b, jaccard, CAST(matching_k_grams AS BIGINT) AS
 )
 def q41(spark, d):
     """File pairs of both kinds in the report's order, as the SQL has it; q41_merged_blocks has the blocks too."""
-    own, old = _top(spark, d), _history(spark, d)
+    sets = _sets(spark, d)
+    own, old = _top(spark, d, sets), _history(spark, d, sets)
     none = own.limit(0)
     return clones.merged_pairs(none, own, old).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
 

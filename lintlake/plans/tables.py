@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import clones
 from ..operators.metrics import FUNCTION_TYPE
-from ..session import materialize
+from ..session import materialize, spread
 
 DECISIONS = ("if", "for", "while", "and", "or", "the", "de", "die")
 #: rule, severity, type, pattern of a line (no look-around, so that SQL engines agree), in the order they are found
@@ -25,7 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(read(spark, sf_dir, "documents"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def file_name(doc_id: Column) -> Column:

@@ -21,16 +21,55 @@ def session(app: str = "lintlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the folder that the cluster shares and read it again, where several branches of a plan need
-    it; removed when the driver's JVM ends. Without spark.checkpoint.dir, as in tests, a local folder is used."""
-    spark = df.sparkSession
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir. Only a local master may do without: elsewhere
+    a folder of one machine would hold a part of the rows, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lintlake-{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lintlake-{label}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it again, where several branches of a plan need it: cuts lineage
+    and survives lost executors. Removed by discard(), or when the driver's JVM ends."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame that materialize() gave, once nothing that is still lazy reads it."""
+    spark = df.sparkSession
+    jvm, base = spark.sparkContext._jvm, shared_dir(spark)
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        if "/lintlake-" in file and path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(base).toUri().getPath()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str, per_core: int = 4 << 20) -> DataFrame:
+    """``df`` dealt to all cores by ``keys`` if it is small: a file of one row group is one task however many cores wait.
+
+    Small is at most ``per_core`` bytes a core by the optimizer's estimate, so the shuffle never grows with the data;
+    larger tables stay as they are, since they have splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size <= per_core * cores else df

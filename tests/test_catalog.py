@@ -79,8 +79,8 @@ def test_report_lists_merged_pairs(spark, documents):
     got = {r["project_key"]: json.loads(r["report"]) for r in catalog.queries()["q37_report_json"](spark, path).collect()}
     for p, (pairs, rate) in plain(rows, True).items():
         assert got[p]["metrics"]["cloneRate"] == pytest.approx(rate)
-        lines = ("start_line_a", "end_line_a", "start_line_b", "end_line_b")
-        assert [(x["file_a"], x["file_b"], x["kind"], x["matching_k_grams"], *(x.get(c) for c in lines)) for x in got[p]["clonePairs"]] == pairs
+        lines = ("startLineA", "endLineA", "startLineB", "endLineB")
+        assert [(x["fileA"], x["fileB"], x["kind"], x["matchingKGrams"], *(x.get(c) for c in lines)) for x in got[p]["clonePairs"]] == pairs
 
 
 def test_merged_list_has_blocks(spark, documents):

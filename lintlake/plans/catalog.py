@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.hashing import FNV_OFFSET
 from ..operators import blocks, clones, metrics, rules, scoring, store, views
+from ..parse.udf import parse
 from ..options import DEFAULT_PROFILE, CustomProfile, MetricRule
 from ..report import json_rows
-from ..session import materialize
+from ..session import materialize, scratch_path, spread
+from ..sources import listing
 from ..sources.ignore import IgnoreRule, ignored, in_excluded_directory
+from . import samples as G
 from . import sqltext as S
 from . import tables as T
 
@@ -336,7 +343,7 @@ def _rates(spark, d):
 
 @query("q22_clone_rate", f"{RATES} SELECT project_key, clone_rate FROM rate")
 def q22(spark, d):
-    """Of the best five own pairs alone, as the SQL has it; q22_merged_rate is the reference's rate."""
+    """Of the best five own pairs alone, as its SQL has it; q22_merged_rate is the rate of a report."""
     return _rates(spark, d)
 
 
@@ -355,9 +362,21 @@ def _merged_rates(spark, d):
     return clones.clone_rate(_merged(spark, d), T.line_metrics(spark, d))
 
 
-@query("q22_merged_rate")
+MERGED = f"""{S.GRAMS}, {S.PAIRS}, {S.TOP}, {HISTORY}, {S.BLOCKS},
+listed AS (SELECT project_key, file AS file_a, file AS file_b, 'block' AS kind, 1.0 AS jaccard, k - 11 AS m, s1, e1, s2, e2, 1 AS source_ord, row_number() OVER (PARTITION BY project_key ORDER BY file, rank) AS place FROM blocks
+  UNION ALL SELECT project_key, file_a, file_b, 'file', jaccard, matching_k_grams, NULL, NULL, NULL, NULL, 2, seq FROM top UNION ALL SELECT project_key, file_a, file_b, 'file', jaccard, matching_k_grams, NULL, NULL, NULL, NULL, 3, seq FROM hist WHERE seq <= 50),
+merged AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY kind DESC, jaccard DESC, m DESC, source_ord, place) AS seq FROM listed) WHERE seq <= 50)"""
+MERGED_RATE = f"""{_M},
+whole AS (SELECT DISTINCT project_key, unnest([file_a, file_b]) AS file FROM merged WHERE kind = 'file'),
+copied AS (SELECT project_key, file, count(DISTINCT line) AS n FROM (SELECT project_key, file_a AS file, unnest(range(s1, e1 + 1) || range(s2, e2 + 1)) AS line FROM merged WHERE kind = 'block') GROUP BY ALL),
+rate AS (SELECT project_key, CASE WHEN sum(own) > 0 THEN least(1.0, sum(CASE WHEN is_whole THEN own ELSE least(own, n) END) / sum(own)) ELSE 0.0 END AS clone_rate
+  FROM (SELECT lm.project_key, totalLines - blank - commentLines AS own, whole.file IS NOT NULL AS is_whole, coalesce(copied.n, 0) AS n FROM lm LEFT JOIN whole ON whole.project_key = lm.project_key AND whole.file = lm.file LEFT JOIN copied ON copied.project_key = lm.project_key AND copied.file = lm.file) GROUP BY project_key)"""
+MERGED_RATES = f"WITH {MERGED}, {MERGED_RATE}"
+
+
+@query("q22_merged_rate", f"{MERGED_RATES} SELECT project_key, clone_rate FROM rate")
 def q22_merged(spark, d):
-    """The rate of the report's merged list, cut to 50 as in the reference: tested by brute force, no SQL."""
+    """The rate of the report's merged list, cut to 50 as in the report."""
     return _merged_rates(spark, d)
 
 
@@ -433,55 +452,66 @@ def _deductions(spark, d, profile, rates=_rates):
     return scoring.deductions(projects, files, _findings(spark, d), profile)
 
 
-def _deduction_sql(penalties: str, complexity: tuple | None, length: tuple | None, nesting: tuple | None, rate: tuple | None) -> str:
+def _deduction_sql(penalties: str, complexity: tuple | None, length: tuple | None, nesting: tuple | None, rate: tuple | None, rates: str = RATES) -> str:
     parts = [f"SELECT project_key, 'finding' AS category, severity || ' findings' AS label, CAST(count(*) AS BIGINT) AS n, count(*) * {penalties} AS points FROM finding GROUP BY project_key, severity"]
     for rule, column, label in ((complexity, "complexity", "Functions over the complexity limit"), (length, "totalLines", "Functions over the length limit"), (nesting, "nesting", "Functions over the nesting limit")):
         if rule:
             parts.append(f"SELECT project_key, 'metric', '{label}', CAST(count(*) FILTER ({column} > {rule[0]}) AS BIGINT), count(*) FILTER ({column} > {rule[0]}) * {rule[1]} FROM lm GROUP BY project_key")
     if rate:
         parts.append(f"SELECT project_key, 'metric', 'Clone rate over the limit', NULL, greatest(0.0, clone_rate - {rate[0]}) * {rate[1]} FROM rate")
-    return f"{RATES}, {S.FOUND}, ded AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE points > 0), tot AS (SELECT rate.project_key, greatest(0.0, least(100.0, 100.0 - coalesce(sum(points), 0.0))) AS score FROM rate LEFT JOIN ded ON ded.project_key = rate.project_key GROUP BY rate.project_key)"
+    return f"{rates}, {S.FOUND}, ded AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE points > 0), tot AS (SELECT rate.project_key, greatest(0.0, least(100.0, 100.0 - coalesce(sum(points), 0.0))) AS score FROM rate LEFT JOIN ded ON ded.project_key = rate.project_key GROUP BY rate.project_key)"
 
 
 PENALTY = "CASE severity WHEN 'BLOCKER' THEN 5.0::DOUBLE WHEN 'CRITICAL' THEN 3.0::DOUBLE WHEN 'MAJOR' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"
-DEFAULT_SQL = _deduction_sql(PENALTY, (20, "1.0::DOUBLE"), (150, "0.5::DOUBLE"), (6, "0.5::DOUBLE"), ("0.2::DOUBLE", "10.0::DOUBLE"))
+DEFAULT_RULES = (PENALTY, (20, "1.0::DOUBLE"), (150, "0.5::DOUBLE"), (6, "0.5::DOUBLE"), ("0.2::DOUBLE", "10.0::DOUBLE"))
+DEFAULT_SQL, DEFAULT_MERGED = _deduction_sql(*DEFAULT_RULES), _deduction_sql(*DEFAULT_RULES, MERGED_RATES)
 CUSTOM = CustomProfile(finding_penalties={"MINOR": 0.25}, metric_rules={"maxComplexity": MetricRule(100, 2), "cloneRate": MetricRule(0.1, 4)}, pass_score=75)
-CUSTOM_SQL = _deduction_sql(PENALTY.replace("0.5::DOUBLE", "0.25::DOUBLE"), (100, "2.0::DOUBLE"), None, None, ("0.1::DOUBLE", "4.0::DOUBLE"))
+CUSTOM_RULES = (PENALTY.replace("0.5::DOUBLE", "0.25::DOUBLE"), (100, "2.0::DOUBLE"), None, None, ("0.1::DOUBLE", "4.0::DOUBLE"))
+CUSTOM_SQL, CUSTOM_MERGED = _deduction_sql(*CUSTOM_RULES), _deduction_sql(*CUSTOM_RULES, MERGED_RATES)
+
 
+_Q28 = " SELECT project_key, category, label, coalesce(n, 0) AS n, round(points, 6) AS points FROM ded"
 
-@query("q28_deductions", f"{DEFAULT_SQL} SELECT project_key, category, label, coalesce(n, 0) AS n, round(points, 6) AS points FROM ded")
+
+@query("q28_deductions", DEFAULT_SQL + _Q28)
 def q28(spark, d, rates=_rates):
     df = _deductions(spark, d, DEFAULT_PROFILE, rates).select("project_key", F.explode("deductions").alias("x"))
     return df.select("project_key", "x.category", "x.label", F.coalesce("x.count", F.lit(0)).alias("n"), F.round("x.points", 6).alias("points"))
 
 
-@query("q29_score_gate", f"{DEFAULT_SQL} SELECT project_key, round(score, 6) AS score, score >= 60 AS passed, CAST(CASE WHEN score >= 60 THEN 0 ELSE 1 + (SELECT count(*) FROM ded WHERE ded.project_key = tot.project_key) END AS BIGINT) AS n_reasons FROM tot")
+_Q29 = " SELECT project_key, round(score, 6) AS score, score >= 60 AS passed, CAST(CASE WHEN score >= 60 THEN 0 ELSE 1 + (SELECT count(*) FROM ded WHERE ded.project_key = tot.project_key) END AS BIGINT) AS n_reasons FROM tot"
+
+
+@query("q29_score_gate", DEFAULT_SQL + _Q29)
 def q29(spark, d, rates=_rates):
     df = scoring.gate(_deductions(spark, d, DEFAULT_PROFILE, rates), DEFAULT_PROFILE)
     return df.select("project_key", F.round("score", 6).alias("score"), "passed", big(F.size("failure_reasons")).alias("n_reasons"))
 
 
-@query("q30_custom_score", f"{CUSTOM_SQL} SELECT project_key, 'custom' AS profile_id, round(score, 6) AS score, 75.0::DOUBLE AS pass_score, score >= 75 AS passed FROM tot")
+_Q30 = " SELECT project_key, 'custom' AS profile_id, round(score, 6) AS score, 75.0::DOUBLE AS pass_score, score >= 75 AS passed FROM tot"
+
+
+@query("q30_custom_score", CUSTOM_SQL + _Q30)
 def q30(spark, d, rates=_rates):
     profile = CUSTOM.profile()
     df = scoring.gate(_deductions(spark, d, profile, rates), profile)
     return df.select("project_key", "profile_id", F.round("score", 6).alias("score"), "pass_score", "passed")
 
 
-# the same by the merged list's rate; SQL has no blocks, so the queries above keep the rate of their SQL
+# the same by the merged list's rate
 
 
-@query("q28_merged_deductions")
+@query("q28_merged_deductions", DEFAULT_MERGED + _Q28)
 def q28_merged(spark, d):
     return q28(spark, d, _merged_rates)
 
 
-@query("q29_merged_score_gate")
+@query("q29_merged_score_gate", DEFAULT_MERGED + _Q29)
 def q29_merged(spark, d):
     return q29(spark, d, _merged_rates)
 
 
-@query("q30_merged_custom_score")
+@query("q30_merged_custom_score", CUSTOM_MERGED + _Q30)
 def q30_merged(spark, d):
     return q30(spark, d, _merged_rates)
 
@@ -522,7 +552,7 @@ def q32(spark, d):
     files = docs.select(F.col("source").alias("project_key"), T.file_name(F.col("doc_id")).alias("file"), big(F.col("n_chars")).alias("n_chars"))
     valid = F.from_json("props", "map<string,string>").isNotNull()
     n = T.read(spark, d, "events").agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("n"))
-    return files.join(projects, "project_key").crossJoin(n.select(big(F.col("n")).alias("n_props"))).select("project_key", "updated", "file", "n_chars", "n_props").orderBy("project_key", "file")
+    return files.join(projects, "project_key").withColumn("n_props", n.select(big(F.col("n"))).scalar()).select("project_key", "updated", "file", "n_chars", "n_props").orderBy("project_key", "file")
 
 
 @query(
@@ -556,7 +586,7 @@ def q34(spark, d):
 def q35(spark, d):
     docs = T.read(spark, d, "documents")
     pages = docs.agg(views.page_count(F.count("*")).alias("pages"))
-    return views.page(docs.select("doc_id", "source"), 3, F.col("doc_id")).crossJoin(pages)
+    return views.page(docs.select("doc_id", "source"), 3, F.col("doc_id")).withColumn("pages", pages.scalar())
 
 
 @query("q36_distinct_files", f"WITH {S.FOUND} SELECT DISTINCT file FROM finding ORDER BY file")
@@ -564,8 +594,34 @@ def q36(spark, d):
     return views.distinct_files(_findings(spark, d))
 
 
-@query("q37_report_json")
+REPORT_FIELDS = "struct<projectKey:string,metrics:struct<totalLines:bigint,ncloc:bigint,cloneRate:double>,fileMetrics:array<struct<file:string,ncloc:bigint>>,findings:array<struct<id:string,line:bigint>>,clonePairs:array<struct<fileA:string,fileB:string,kind:string,jaccardSimilarity:double,matchingKGrams:bigint,startLineA:bigint,endLineB:bigint>>,score:struct<score:double,passed:boolean,maxScore:double,passScore:double,failureReasons:array<string>>>"
+
+
+@query(
+    "q37_report_json",
+    f"""{DEFAULT_MERGED},
+f AS (SELECT project_key, count(*) AS n_files, string_agg(file, ',' ORDER BY file) AS files, sum(totalLines) AS lines, sum(totalLines - blank - commentLines) AS code FROM lm GROUP BY project_key),
+g AS (SELECT project_key, count(*) AS n, string_agg(id, ',' ORDER BY file, line, "column", ruleId) AS ids FROM finding GROUP BY project_key),
+p AS (SELECT project_key, string_agg(concat_ws(':', file_a, file_b, kind, m, s1, e2), ',' ORDER BY seq) AS pairs, sum(jaccard) AS similarity FROM merged GROUP BY project_key)
+SELECT rate.project_key, CAST(lines AS BIGINT) AS total_lines, CAST(code AS BIGINT) AS ncloc, round(clone_rate, 9) AS clone_rate, files, coalesce(ids, '') AS findings, coalesce(pairs, '') AS pairs, round(coalesce(similarity, 0.0), 6) AS similarity, round(score, 6) AS score, score >= 60 AS passed,
+  CAST(CASE WHEN score >= 60 THEN 0 ELSE 1 + (SELECT count(*) FROM ded WHERE ded.project_key = rate.project_key) END AS BIGINT) AS n_reasons
+FROM rate JOIN tot ON tot.project_key = rate.project_key JOIN f ON f.project_key = rate.project_key LEFT JOIN g ON g.project_key = rate.project_key LEFT JOIN p ON p.project_key = rate.project_key""",
+)
 def q37(spark, d):
+    """The report documents, read back by their field names."""
+    r = reports(spark, d).select("project_key", F.from_json("report", REPORT_FIELDS).alias("r")).select("project_key", "r.*")
+    pair = lambda x: F.concat_ws(":", x["fileA"], x["fileB"], x["kind"], x["matchingKGrams"].cast("string"), x["startLineA"].cast("string"), x["endLineB"].cast("string"))
+    listed = lambda c, f: F.array_join(F.transform(c, f), ",")
+    similarity = F.aggregate("clonePairs", F.lit(0.0), lambda s, x: s + x["jaccardSimilarity"])
+    return r.select(
+        "project_key", F.col("metrics.totalLines").alias("total_lines"), F.col("metrics.ncloc").alias("ncloc"), F.round("metrics.cloneRate", 9).alias("clone_rate"),
+        listed("fileMetrics", lambda x: x["file"]).alias("files"), listed("findings", lambda x: x["id"]).alias("findings"), listed("clonePairs", pair).alias("pairs"), F.round(similarity, 6).alias("similarity"),
+        F.round("score.score", 6).alias("score"), F.col("score.passed").alias("passed"), big(F.size("score.failureReasons")).alias("n_reasons"),
+    )
+
+
+def reports(spark, d):
+    """(project_key, report) of all projects."""
     files = T.line_metrics(spark, d)
     pairs = _merged(spark, d)
     projects = metrics.project_metrics(files, clones.clone_rate(pairs, files), DEFAULT_PROFILE)
@@ -639,7 +695,228 @@ def q41(spark, d):
     return clones.merged_pairs(none, own, old).select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
 
 
-@query("q41_merged_blocks")
+@query(
+    "q41_merged_blocks",
+    f"WITH {MERGED} SELECT project_key, file_a, file_b, kind, CAST(jaccard AS DOUBLE) AS jaccard, CAST(m AS BIGINT) AS matching_k_grams, coalesce(s1, 0) AS start_line_a, coalesce(e1, 0) AS end_line_a, coalesce(s2, 0) AS start_line_b, coalesce(e2, 0) AS end_line_b, CAST(seq AS BIGINT) AS seq FROM merged",
+)
 def q41_blocks(spark, d):
-    """The report's whole list, with the blocks that come after a project's file pairs: tested by brute force, no SQL."""
-    return _merged(spark, d).select("project_key", "file_a", "file_b", "kind", "jaccard", "matching_k_grams", "start_line_a", "end_line_a", "start_line_b", "end_line_b", big(F.col("seq")).alias("seq"))
+    """The report's whole list, with the blocks that come after a project's file pairs; file pairs have lines 0."""
+    lines = [F.coalesce(c, F.lit(0)).alias(c) for c in ("start_line_a", "end_line_a", "start_line_b", "end_line_b")]
+    return _merged(spark, d).select("project_key", "file_a", "file_b", "kind", "jaccard", "matching_k_grams", *lines, big(F.col("seq")).alias("seq"))
+
+
+# the real parsers, metrics and rules, over source files made from the documents' ids
+
+
+def _sources(spark, d):
+    return parse(spread(G.sources(T.read(spark, d, "documents")), "file"))
+
+
+@query(
+    "q42_file_metrics",
+    f"""WITH {G.SHAPES}, {G.FILES} SELECT project_key, file, language, CAST(totalLines AS BIGINT) AS total_lines, CAST(totalLines - blanks - commentLines AS BIGINT) AS ncloc, CAST(commentLines AS BIGINT) AS comment_lines, commentLines / totalLines AS density,
+  CAST(2 AS BIGINT) AS functions, CAST(1 AS BIGINT) AS classes, CAST(1 AS BIGINT) AS imports FROM files""",
+)
+def q42(spark, d):
+    return metrics.file_metrics(_sources(spark, d)).select("project_key", "file", "language", F.col("totalLines").alias("total_lines"), "ncloc", F.col("commentLines").alias("comment_lines"), F.col("commentDensity").alias("density"), F.col("functionCount").alias("functions"), F.col("classCount").alias("classes"), F.col("importCount").alias("imports"))
+
+
+@query(
+    "q43_function_metrics",
+    f"""WITH {G.SHAPES}, {G.UNITS} SELECT project_key, file, language, name, CAST(startLine AS BIGINT) AS start_line, CAST(endLine AS BIGINT) AS end_line, CAST(endLine - startLine + 1 AS BIGINT) AS lines, CAST(complexity AS BIGINT) AS complexity, CAST(nestingDepth AS BIGINT) AS nesting, CAST(paramCount AS BIGINT) AS params FROM units""",
+)
+def q43(spark, d):
+    rows = views.function_rows(metrics.file_metrics(_sources(spark, d)))
+    return rows.select("project_key", "file", "language", "name", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "lines", "complexity", F.col("nestingDepth").alias("nesting"), F.col("paramCount").alias("params"))
+
+
+_TEXTS = {r.rule_id: r for r in rules.RULES}
+_ROWS = ", ".join(f"({i}, '{r}', '{_TEXTS[r].severity}', '{_TEXTS[r].type}', {line}, {column}, '{_TEXTS[r].description}{more}')" for i, s in enumerate(G.SNIPPETS) for r, line, column, more in s.findings)
+_LINES = ", ".join("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in s.content.split("\n")) + "]" for s in G.SNIPPETS)
+_EXT = ", ".join(f"'{dict(zip(G.LANGUAGES, G.EXTENSIONS, strict=True))[s.language]}'" for s in G.SNIPPETS)
+SNIPPETS = f"""place AS (SELECT source AS project_key, CAST(doc_id % {len(G.SNIPPETS)} AS INTEGER) AS i, 's' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.' || [{_EXT}][CAST(doc_id % {len(G.SNIPPETS)} AS INTEGER) + 1] AS file FROM documents),
+broken AS (SELECT project_key, ruleId || ':' || file || ':' || line || ':' || col AS id, ruleId, severity, type, file, line, col, message, substr(trim([{_LINES}][place.i + 1][line]), 1, 240) AS snippet FROM place JOIN (VALUES {_ROWS}) v(i, ruleId, severity, type, line, col, message) ON v.i = place.i)"""
+
+
+def _broken(spark, d):
+    parsed = parse(spread(G.snippets(T.read(spark, d, "documents")), "file"))
+    return parsed, rules.findings(parsed, metrics.file_metrics(parsed))
+
+
+@query("q44_rule_findings", f'WITH {SNIPPETS} SELECT project_key, id, ruleId, severity, type, file, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", message, snippet FROM broken')
+def q44(spark, d):
+    """All rules: calls, nodes, texts and function metrics, with their places and messages."""
+    return _broken(spark, d)[1]
+
+
+_TOKEN_GRAMS = f"""{G.SHAPES}, {G.TOKENS},
+grams AS (SELECT DISTINCT project_key, file, language, len(t) AS n, {S.fnv("array_to_string(list_slice(t, i, i + least(12, len(t)) - 1), chr(1))")} AS h FROM (SELECT *, unnest(range(1, len(t) - least(12, len(t)) + 2)) AS i FROM tokens))"""
+
+
+@query(
+    "q45_fingerprints",
+    f"""WITH {_TOKEN_GRAMS}, {S.SIGNATURE.replace("project_key, doc_id, file", "project_key, file")}
+SELECT g.*, s.signature FROM (SELECT project_key, file, language, CAST(max(n) AS BIGINT) AS token_count, CAST(12 AS BIGINT) AS k_gram_size, CAST(count(*) AS BIGINT) AS n_grams, CAST(sum(h) AS BIGINT) AS total FROM grams GROUP BY ALL) g
+JOIN (SELECT project_key, file, string_agg(CAST(v AS VARCHAR), ',' ORDER BY s) AS signature FROM sig GROUP BY ALL) s ON s.project_key = g.project_key AND s.file = g.file""",
+)
+def q45(spark, d):
+    parsed = _sources(spark, d)
+    made = clones.fingerprints(parsed, metrics.file_metrics(parsed))
+    total = F.aggregate("k_gram_hashes", F.lit(0).cast("bigint"), lambda s, h: s + h)
+    return made.select("project_key", "file", "language", "token_count", "k_gram_size", big(F.size("k_gram_hashes")).alias("n_grams"), total.alias("total"), F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query("q46_report_of_sources", f"""WITH {G.SHAPES}, {G.FILES}, {G.UNITS}, {SNIPPETS}
+SELECT f.project_key, CAST(files AS BIGINT) AS files, CAST(lines AS BIGINT) AS total_lines, CAST(functions AS BIGINT) AS functions, mean AS mean_complexity, CAST(most AS BIGINT) AS max_complexity, CAST(deep AS BIGINT) AS deep, coalesce(found, 0) AS findings
+FROM (SELECT project_key, count(*) AS files, sum(totalLines) AS lines FROM files GROUP BY ALL) f JOIN (SELECT project_key, count(*) AS functions, sum(complexity) / count(*) AS mean, max(complexity) AS most, count(*) FILTER (nestingDepth > 6) AS deep FROM units GROUP BY ALL) u ON u.project_key = f.project_key
+LEFT JOIN (SELECT project_key, CAST(count(*) AS BIGINT) AS found FROM broken GROUP BY ALL) b ON b.project_key = f.project_key""")
+def q46(spark, d):
+    """Project metrics of parsed files, and the number of findings of the project's other files."""
+    files = metrics.file_metrics(_sources(spark, d))
+    none = spark.createDataFrame([], "project_key string, clone_rate double")
+    found = _broken(spark, d)[1].groupBy("project_key").agg(F.count("*").alias("findings"))
+    rolled = metrics.project_metrics(files, none, DEFAULT_PROFILE).join(files.groupBy("project_key").agg(F.count("*").alias("files")), "project_key").join(found, "project_key", "left")
+    return rolled.select("project_key", "files", F.col("totalLines").alias("total_lines"), F.col("functionCount").alias("functions"), F.col("avgComplexity").alias("mean_complexity"), F.col("maxComplexity").alias("max_complexity"), F.col("deeplyNestedFunctions").alias("deep"), F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"))
+
+
+# sources and the store, written and read back
+
+
+IGNORE_FILES = [("", "# generated\n\nfr/\n/de/1*\n*7\n!*17\n"), ("en", "2?\n")]
+
+
+def _entries(spark, d):
+    """Pages as files of a tree with two ignore files; every fifth lies in a directory that is never entered."""
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://[^/]+/([^?#]*[^?#/])", 1)
+    file = F.concat(F.when(F.col("page_id") % 5 == 0, F.lit("lib/vendor/")).otherwise(""), path, F.when(F.col("page_id") % 3 == 0, F.lit(".txt")).otherwise(F.lit("")))
+    pages = T.read(spark, d, "pages").select(F.concat(file, F.lit("/p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, F.lit(".py")).otherwise(F.lit(".md"))).alias("file"), F.coalesce("html", F.lit("")).alias("content"))
+    return pages.unionByName(spark.createDataFrame([(f"{base}/.gitignore".lstrip("/"), text) for base, text in IGNORE_FILES], "file string, content string"))
+
+
+_TREE = """
+p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]+/([^?#]*[^?#/])', 1) || CASE WHEN page_id % 3 = 0 THEN '.txt' ELSE '' END AS dir FROM pages WHERE page_id % 5 <> 0),
+f AS (SELECT page_id, dir || '/p' || page_id || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '.md' END AS file, dir, CASE WHEN contains(dir, '/') THEN regexp_extract(dir, '^([^/]*)/', 1) ELSE '' END AS top FROM p),
+v AS (SELECT file, page_id, CASE WHEN regexp_matches(dir, '^en/(?:[^/]*/)*2[^/](?:/.*)?$') THEN TRUE WHEN regexp_matches(dir, '^(?:[^/]*/)*[^/]*17(?:/.*)?$') THEN FALSE WHEN regexp_matches(dir, '^(?:[^/]*/)*[^/]*7(?:/.*)?$') THEN TRUE WHEN regexp_matches(dir, '^de/1[^/]*$') THEN TRUE ELSE dir = 'fr' END
+  OR (top <> '' AND CASE WHEN regexp_matches(top, '17$') THEN FALSE WHEN regexp_matches(top, '7$') THEN TRUE ELSE top = 'fr' END) AS out FROM f)
+"""
+
+
+@query("q47_discovered_files", f"WITH {_TREE} SELECT 'p' AS project_key, file, 'python' AS language FROM v WHERE NOT out AND page_id % 2 = 0")
+def q47(spark, d):
+    """Ignore files are parsed, nested ones apply below their directory; excluded directories and other languages go."""
+    return listing.discovered(_entries(spark, d), "p").drop("content")
+
+
+@query("q48_scan_counts", f"WITH {_TREE} SELECT count(*) AS scanned, count(*) FILTER (out OR page_id % 2 <> 0) AS skipped FROM v")
+def q48(spark, d):
+    return listing.counts(_entries(spark, d))
+
+
+def _packed(spark, d, name, write):
+    """Documents written by tasks under a new shared folder: ``write`` gets a task's files and its number."""
+    folder = scratch_path(spark, name)
+    files = T.documents(spark, d).select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), T.file_name(F.col("doc_id")), F.lit(".py")).alias("file"), "text")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        write(folder, TaskContext.get().partitionId(), rows)
+        yield pa.RecordBatch.from_pydict({"n": [len(rows)]})
+
+    files.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+_SCANNED = f"SELECT 'src/' || source || '/' || {S.FILE} || '.py' AS file, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents"
+
+
+@query("q49_zip_scan", _SCANNED)
+def q49(spark, d):
+    def write(folder, part, rows):
+        out = io.BytesIO()
+        with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            warnings.simplefilter("ignore", UserWarning)  # names repeat on purpose
+            for file, text in rows:
+                z.writestr(file, "replaced by the entry that follows")
+                z.writestr(file, text)
+        listing.put(f"{folder}/part-{part}.zip", out.getvalue())
+
+    return listing.archives(spark, f"{_packed(spark, d, 'zips', write)}/*.zip").select("file", big(F.length("content")).alias("n"))
+
+
+@query("q50_directory_scan", _SCANNED)
+def q50(spark, d):
+    def write(folder, part, rows):
+        for file, text in rows:
+            listing.put(f"{folder}/{file}", text.encode())
+        listing.put(f"{folder}/src/node_modules/x{part}.py", b"never seen")
+
+    return listing.directory(spark, _packed(spark, d, "tree", write)).select("file", big(F.length("content")).alias("n"))
+
+
+@query(
+    "q51_store_round_trip",
+    f"""WITH s AS (SELECT source AS project_key, {S.FILE} AS file, lang AS language, CAST(length(coalesce(text, '')) AS BIGINT) AS ncloc, doc_id FROM documents)
+SELECT project_key, file, language, ncloc FROM s WHERE project_key NOT IN ('src1', 'src2', 'src3') AND doc_id % 10 <> 0 UNION ALL SELECT project_key, file || '-new', language, ncloc FROM s WHERE project_key IN ('src1', 'src2')""",
+)
+def q51(spark, d):
+    """Saved, then two projects replaced and one emptied, then loaded; every tenth file has no hashes and is left out."""
+    path = scratch_path(spark, "store")
+    row = _stored(spark, d).join(T.documents(spark, d).select(T.file_name(F.col("doc_id")).alias("file"), "doc_id"), "file")
+    hashes = F.when(F.col("doc_id") % 10 != 0, F.array(F.lit(FNV_OFFSET))).otherwise(F.array().cast("array<bigint>"))
+    made = row.select("project_key", F.lit(None).cast("timestamp").alias("updated_at"), "file", "language", F.lit(1).cast("bigint").alias("token_count"), F.lit(1).cast("bigint").alias("k_gram_size"), hashes.alias("k_gram_hashes"), F.array(F.lit(1).cast("bigint")).alias("signature"), "ncloc")
+    keys = [r["source"] for r in T.read(spark, d, "documents").select("source").distinct().collect()]  # the projects of one save
+    store.save(made, path, keys)
+    fresh = made.where(F.col("project_key").isin("src1", "src2")).withColumns({"file": F.concat("file", F.lit("-new")), "k_gram_hashes": F.array(F.lit(FNV_OFFSET))})
+    store.save(fresh, path, ["src1", "src2", "src3"])
+    return store.load(spark, path).select("project_key", "file", "language", "ncloc")
+
+
+@query(
+    "q52_history_bands",
+    f"""WITH {S.GRAMS}, {S.SIGNATURE}, {S.BANDS},
+met AS (SELECT DISTINCT a.project_key, a.file AS file_a, b.project_key AS from_key, b.file AS from_file FROM bands a JOIN bands b ON a.band = b.band AND a.band_key = b.band_key AND a.project_key <> b.project_key),
+num AS (SELECT met.project_key, file_a, from_key, from_file, count(*) AS m FROM met JOIN grams x ON x.project_key = met.project_key AND x.file = file_a JOIN grams y ON y.project_key = from_key AND y.file = from_file AND y.h = x.h GROUP BY ALL),
+sim AS (SELECT num.*, m / (x.n + y.n - m) AS jaccard FROM num JOIN cnt x ON x.project_key = num.project_key AND x.file = file_a JOIN cnt y ON y.project_key = from_key AND y.file = from_file)
+SELECT project_key, file_a, 'history/' || from_key || '/' || from_file AS file_b, jaccard, CAST(m AS BIGINT) AS matching_k_grams, CAST(seq AS BIGINT) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY jaccard DESC, m DESC, file_a, from_key, from_file) AS seq FROM sim WHERE jaccard >= 0.2) WHERE seq <= 50""",
+)
+def q52(spark, d):
+    """History over shared bands, as for large inputs."""
+    sets = T.signed_sets(spark, d)
+    return clones.history_pairs(sets, sets, 0.2, mode="lsh").select("project_key", "file_a", "file_b", "jaccard", "matching_k_grams", big(F.col("seq")).alias("seq"))
+
+
+@query(
+    "q53_previews",
+    f"""WITH {S.FOUND} SELECT project_key, CAST(seq AS BIGINT) AS seq, id FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY file, line, "column", ruleId) AS seq FROM finding) WHERE seq <= 5""",
+)
+def q53(spark, d):
+    return views.preview(_findings(spark, d)).select("project_key", big(F.col("seq")).alias("seq"), "id")
+
+
+@query(
+    "q54_tab_counts",
+    f"""WITH {S.FOUND}, {S.METRICS} SELECT project_key, 'files' AS tab, CAST(count(*) AS BIGINT) AS n FROM met GROUP BY ALL UNION ALL SELECT project_key, 'functions', CAST(count(*) AS BIGINT) FROM met GROUP BY ALL UNION ALL SELECT project_key, 'findings', CAST(count(*) AS BIGINT) FROM finding GROUP BY ALL""",
+)
+def q54(spark, d):
+    files = T.line_metrics(spark, d)
+    return views.tab_counts(files, _findings(spark, d), spark.createDataFrame([], "project_key string"))
+
+
+@query(
+    "q55_dates_and_shares",
+    "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M') AS shown, greatest(0.0, least(100.0, value / 50.0 * 100.0)) AS percent FROM events",
+)
+def q55(spark, d):
+    return T.read(spark, d, "events").select("event_id", X.shown_date(F.col("ts")).alias("shown"), scoring.score_percent(F.col("value"), F.lit(50.0)).alias("percent"))
+
+
+@query(
+    "q56_entries_as_map",
+    "SELECT user_id, map_from_entries(list(struct_pack(k := event_type, v := v) ORDER BY event_type))::VARCHAR AS entries FROM (SELECT user_id, event_type, max(CAST(event_id AS BIGINT)) AS v FROM events GROUP BY ALL) GROUP BY user_id",
+)
+def q56(spark, d):
+    made = views.as_map(T.read(spark, d, "events").where("event_type is not null"), "event_type", "event_id", "user_id")
+    shown = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", "), F.lit("}"))
+    return made.select("user_id", shown.alias("entries"))

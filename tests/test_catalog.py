@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from lintlake.operators import blocks
+from pyspark.sql import functions as F
+
+from lintlake.operators import blocks, clones
 from lintlake.plans import catalog
 
 
@@ -61,6 +63,24 @@ def plain(rows, cut):
     return found
 
 
+def test_boilerplate_in_all_files(spark):
+    """Files that share most of their grams: all pairs are met, once each, and no gram's group meets in one task."""
+    from lintlake.session import materialize
+
+    n, common = 1200, list(range(1, 81))
+    sets = spark.range(n, numPartitions=4).select(F.lit("p").alias("project_key"), F.format_string("f%05d", "id").alias("file"), F.concat(F.array(*map(F.lit, common)), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.col("id") * 100 + 1000 + k)).cast("array<bigint>").alias("k_gram_hashes"))
+    sets = materialize(sets.withColumn("signature", F.array().cast("array<bigint>")), "boilerplate")
+    shared = clones.shared_grams(sets, ["project_key"], "file", "k_gram_hashes")
+    assert shared.count() == n and shared.agg(F.min("w"), F.max("df")).first()[:] == (80, n)  # one entry for eighty grams
+    met = clones.candidate_pairs(shared, ["project_key"], 0.2, chunk=100)
+    assert met.count() == n * (n - 1) // 2
+    assert clones.candidate_pairs(shared, ["project_key"], 0.8, chunk=100).count() == 0
+    rows = clones._chunked(shared.withColumn("size", F.col("df")), ["gram"], "id", "size", 100).groupBy("_lo", "_hi").agg(F.count("*").alias("n")).collect()
+    assert len(rows) == 12 * 13 // 2 and max(r["n"] for r in rows) <= 3 * sorted(r["n"] for r in rows)[len(rows) // 2]
+    top = clones.project_pairs(sets, 0.2, mode="exact").orderBy("seq").collect()
+    assert [(r["file_a"], r["file_b"], r["matching_k_grams"]) for r in top] == [("f00000", f"f{i:05d}", 80) for i in range(1, 6)]
+
+
 def rates(df):
     return {r["project_key"]: pytest.approx(r["clone_rate"]) for r in df.collect()}
 
@@ -76,7 +96,7 @@ def test_merged_and_untruncated_rates(spark, documents):
 
 def test_report_lists_merged_pairs(spark, documents):
     path, rows = documents
-    got = {r["project_key"]: json.loads(r["report"]) for r in catalog.queries()["q37_report_json"](spark, path).collect()}
+    got = {r["project_key"]: json.loads(r["report"]) for r in catalog.reports(spark, path).collect()}
     for p, (pairs, rate) in plain(rows, True).items():
         assert got[p]["metrics"]["cloneRate"] == pytest.approx(rate)
         lines = ("startLineA", "endLineA", "startLineB", "endLineB")
@@ -89,6 +109,6 @@ def test_merged_list_has_blocks(spark, documents):
     for p, (pairs, _) in plain(rows, True).items():
         lines = ("start_line_a", "end_line_a", "start_line_b", "end_line_b")
         own = [r for r in got if r["project_key"] == p]
-        assert [(r["file_a"], r["file_b"], r["kind"], r["matching_k_grams"], *(r[c] for c in lines)) for r in own] == pairs
+        assert [(r["file_a"], r["file_b"], r["kind"], r["matching_k_grams"], *(r[c] or None for c in lines)) for r in own] == pairs
         assert [r["seq"] for r in own] == list(range(1, len(own) + 1))
     assert any(r["kind"] == "block" for r in got)

@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALL_ONES = 0xFFFFFFFFFFFFFFFF
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from ..session import discard, materialize, scratch_path, spread
 
+__all__ = ["ALL_ONES", "columns", "connected_components", "discard", "materialize", "pieces", "scratch_path", "spread", "with_arrow"]
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lintlake-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ALL_ONES = 0xFFFFFFFFFFFFFFFF
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024, text: str | None = None, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -70,7 +47,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Alternates large-star and small-star steps until the edges no longer change. Every step is an aggregation and an
     equi-join on the node, so a hub is pre-aggregated for its minimum and its join side can be split; each round is
-    written to the shared folder. No edge reaches the driver. Null ends and loops are dropped.
+    written to the shared folder and the one before it removed. No edge reaches the driver. Null ends and loops are dropped.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = materialize(edges, label), None
@@ -84,6 +61,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        edges = materialize(small, label)
+        edges, last = materialize(small, label), edges
+        discard(last)
     # stars now: every edge points from a node to the smallest node of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALL_ONES, columns, connected_components, materialize, with_arrow
@@ -207,6 +207,18 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = 4096) -> DataFrame:
     return with_arrow(groups.where(F.size("fps") > 1).select("fps"), "a long, b long", make, rows=4096)
 
 
+def _labelled(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(fp, label, lowest) for each value of ``fp`` in ``fps`` (doc_id, fp): the smallest fingerprint and the smallest
+    doc_id that links reach."""
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
+    found = connected_components(links(reps.select("fp"), radius, bucket), "simhash-links")
+    member = found.withColumnRenamed("node", "fp").join(reps, "fp")
+    lowest = member.groupBy("component").agg(F.min("rep").alias("lowest"))
+    linked = member.join(lowest, "component").select("fp", "component", "lowest")
+    table = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"), F.coalesce("lowest", "rep").alias("lowest"))
+    return materialize(table, "simhash-table")  # so that the last join has a shuffle on either side, and a hot fingerprint is split
+
+
 def components(docs: DataFrame, radius: int = 3, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -216,27 +228,45 @@ def components(docs: DataFrame, radius: int = 3, bucket: int = 4096, id_col: str
     stay repeated; extra columns are dropped; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    found = connected_components(links(reps.select("fp"), radius, bucket), "simhash-links")
-    member = found.withColumnRenamed("node", "fp").join(reps, "fp")
-    lowest = member.groupBy("component").agg(F.min("rep").alias("lowest"))
-    linked = member.join(lowest, "component").select("fp", "lowest")
-    table = reps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component_id"))
-    table = materialize(table, "simhash-table")  # so that the last join has a shuffle on either side, and a hot fingerprint is split
-    return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = _labelled(fps, radius, bucket)
+    return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lowest").alias("component_id"))
+
 
+def keep_one(docs: DataFrame, radius: int = 3, bucket: int = 4096) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id, all columns as they were.
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id. Rows without doc_id are all kept.
+    Rows, not ids, are kept: an id that several texts have stands for a row of each. Of rows with the same id the one
+    with the smaller hash of its text stays, of rows that are repeated with their text one. A row without an id stays
+    only if no row of its component has one. Null and empty texts are one component.
 
-    Documents meet the ids that stay by a shuffle at every size: those ids grow with the documents, and a broadcast while
+    Documents meet the rows that stay by a shuffle at every size: those grow with the documents, and a broadcast while
     they are few would only hide what the stage costs.
     """
-    found = materialize(components(docs, radius), "simhash-components")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = materialize(stay, "simhash-stay")
-    once = stay.where("n = 1").select("doc_id").hint("shuffle_hash")
-    kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.unionByName(docs.join(stay.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    text = F.coalesce("text", F.lit(""))
+    marks = {"_id": F.col("doc_id").cast("long"), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(17), text)}
+    keyed = docs.select(*[v.alias(k) for k, v in marks.items()], "text")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps = np.fromiter((fingerprint(t) for t in batch.column(3).to_pylist()), np.uint64, batch.num_rows)
+            return columns(batch, doc_id=batch.column(0), _x=batch.column(1), _y=batch.column(2), fp=fps.view(np.int64))
+
+        return one
+
+    fps = materialize(with_arrow(keyed, "doc_id long, _x long, _y long, fp long", make, "text"), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y")
+    stay = fps.join(_labelled(fps, radius, bucket), "fp").groupBy("label").agg(F.min(row).alias("r"))
+    stay = stay.select(F.col("r.doc_id").alias("_id"), F.col("r._x").alias("_x"), F.col("r._y").alias("_y"))
+    again = fps.groupBy(F.col("doc_id").alias("_id"), "_x", "_y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    stay, again = materialize(stay, "simhash-stay"), materialize(again, "simhash-again")
+    same = lambda side: F.col("_id").eqNullSafe(side["_i"]) & (F.col("_x") == side["_a"]) & (F.col("_y") == side["_b"])
+    renamed = lambda df: df.select(F.col("_id").alias("_i"), F.col("_x").alias("_a"), F.col("_y").alias("_b"))
+    wanted = renamed(stay).hint("shuffle_hash")
+    kept = docs.withColumns(marks).join(wanted, same(wanted), "left_semi")
+    if not again.isEmpty():  # rows repeated with id and text: one of them, by the other columns
+        twice = renamed(again)
+        rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+        order = Window.partitionBy("_id", "_x", "_y").orderBy(*rest, "text")
+        once = kept.join(twice, same(twice), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(once)
     return kept.select(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,10 +55,25 @@ def test_simhash(docs, none):
 def test_simhash_keep_one(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, -1, 0, 3, 4, 6, 7]
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 0, 3, 4, 6, 7]
     assert simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keep_one_goes_by_row(spark):
+    """An id that two texts have neither loses a text nor keeps a copy; of rows without an id one stays in a group."""
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+
+    def kept(*rows):
+        df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+        return sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+
+    assert kept((5, c), (5, b)) == sorted([(5, c), (5, b)], key=str)
+    assert kept((1, a), (5, a), (5, b)) == sorted([(1, a), (5, b)], key=str)
+    assert kept((None, a), (None, a), (None, b), (7, b), (2, d), (2, d), (2, d)) == sorted([(None, a), (7, b), (2, d)], key=str)
+    assert kept((None, None), (3, ""), (4, None)) == [(3, "")]
+
+
 def test_simhash_splits_buckets(spark):
     """Chunks of a hot bucket give the same components as one bucket."""
     rng = random.Random(3)
@@ -296,31 +312,51 @@ def plain_hits(text, items, size=10):
     return len(words), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-@pytest.mark.parametrize("slice_bytes", [8 << 20, 20])
-def test_decontamination(docs, none, bench, slice_bytes):
+@pytest.mark.parametrize("filter_bits", [1 << 26, 64])
+def test_decontamination(docs, none, bench, filter_bits):
+    """The same with a filter that keeps nearly nothing out."""
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
-    keep = ["doc_id", "items"]
-    rows = decontam.mark(docs.select("doc_id", "text", "items"), bench, keep, slice_bytes=slice_bytes).collect()
+    rows = decontam.report(docs, bench, filter_bits=filter_bits).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
     assert len(rows) == 11
     for r in rows:
         if r["doc_id"] is not None:
-            assert (r["n_words"], r["n_hit"], r["items"]) == plain_hits(texts[r["doc_id"]], items)
-    kept = decontam.clean(docs, bench)
-    assert kept.columns == docs.columns and 3 not in {r["doc_id"] for r in kept.collect()}
+            want = plain_hits(texts[r["doc_id"]], items)
+            assert (r["n_words"], r["n_hit"], r["items"]) == want and r["contaminated"] == (want[1] > 0)
+            assert r["n_items"] == len(want[2]) and r["items_sha256"] == hashlib.sha256(",".join(want[2]).encode()).hexdigest()
+    kept = decontam.clean(docs, bench, filter_bits=filter_bits)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, -1, 0, 1, 2, 6, 7]
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.clean(docs, bench.limit(0)).count() == 11 and decontam.clean(none, bench).count() == 0
+
+
+def test_windows(spark):
+    """Random texts of few words against random items, in one job; short items, repeats and ties of rarity."""
+    rng = random.Random(7)
+    made = lambda n, letters: " ".join(rng.choices(letters, k=rng.randrange(n)))
+    items = [(k, made(10, "abcd")) for k in range(40)] + [(40, "d"), (41, "D a"), (42, "")]
+    texts = [(k, made(26, "abcdefgh")) for k in range(150)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    for own in (items, items[:12]):
+        rows = decontam.report(docs, bench.where(f"item_id < {len(own)}"), window=4, shingle=3).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == {k: plain_hits(t, own, 4) for k, t in texts}
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=9).map(" ".join), min_size=1, max_size=4), st.lists(st.sampled_from("abcde"), max_size=25).map(" ".join))
-def test_windows(items, text):
-    named = list(enumerate(items))
-    w = decontam.Windows([(str(k), t) for k, t in named], window=4, shingle=3)
-    w.prefix(np.ones(w.n_shingles, np.int64))
-    sizes, doc, start, window = w.occurrences([text])
-    hit = {p for s, k in zip(start, window, strict=True) for p in range(s, s + w.lengths[k])}
-    found = {w.names[o] for k in window for o in w.owners[k]}
-    assert (int(sizes[0]), len(hit), sorted(found)) == plain_hits(text, named, 4)
+@given(st.lists(st.text("aB\u00e9 .\n\x000", max_size=12) | st.none(), max_size=5))
+def test_words(texts):
+    words = decontam.Words(pa.array(["skip", *texts], pa.string()).slice(1))
+    want = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").replace("B", "b")) for t in texts]
+    assert words.sizes.tolist() == [len(w) for w in want] and words.text(0, len(words.hash)) == " ".join(x for w in want for x in w)
+    flat = [x for w in want for x in w]
+    assert len(set(words.hash.tolist())) == len(set(flat)) == len(set(zip(flat, words.hash.tolist(), strict=True)))
+
+
+def test_words_longer_than_a_stretch():
+    long = "x" * (decontam.CHUNK + 5)
+    words = decontam.Words(pa.array([f"a {long} b", f"{long} {long}y"]))
+    h = words.hash.tolist()
+    assert h[1] == h[3] != h[4] and words.sizes.tolist() == [3, 2]
 
 
 def test_packing(docs, none):

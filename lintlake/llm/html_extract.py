@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 A tolerant tokenizer builds a tree of elements and blocks of text. Each paragraph gives points for its length and commas
-to its parent, half of them to the parent's parent and less to those above; an element's score is discounted by the
+to its parent, half of them to the parent's parent and less to those above, sixteen in all; an element's score is discounted by the
 share of its text that is in links. The best container is kept with those of its siblings that also hold content, and
 from it all blocks outside menus, adverts, forms, comments and the like, in page order. A mark that is one word of a
 longer name (``side-effects``) drops nothing within the container, and lists of links stay within an article.
@@ -47,6 +47,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"table", "td", "th", "caption", "button", "object"}}
 TABLE = {"table"}
 TOP = {"html", "body", "main"}
+#: For each kind of implied end tag the elements it ends, and those it does not reach across.
+IMPLIED = {tag: (ends, SCOPE.get(tag, TABLE)) for tag, ends in CLOSES.items()} | {"p": ({"p"}, SCOPE["p"] | {"div", "article", "section", "main", "body"})}
+KINDS = {kind: i for i, kind in enumerate(IMPLIED)}
+#: The kinds for which a tag is of interest.
+OF_INTEREST = {tag: [KINDS[k] for k, (ends, scope) in IMPLIED.items() if tag in ends | scope] for tag in set().union(*(ends | scope for ends, scope in IMPLIED.values()))}
+#: Ancestors that get points of a paragraph.
+LEVELS = 16
 
 
 @dataclass(slots=True)
@@ -93,11 +100,71 @@ def _marked(attributes: str, tag: str) -> int:
     return found
 
 
+class _Open:
+    """The open elements, with what finds an end tag's or an implied end's element without a walk: how many of a tag are
+    open in all and since the innermost table, and for each kind of implied end the innermost element of interest."""
+
+    def __init__(self, elements: list[Element]) -> None:
+        self.elements, self.stack, self.owner = elements, [0], [0]
+        self.total: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+        self.nearest: list[list[int]] = [[0] * len(KINDS)]
+
+    def push(self, index: int, tag: str) -> None:
+        place = len(self.stack)
+        self.stack.append(index)
+        self.owner.append(index if tag in BLOCK else self.owner[-1])
+        self.total[tag] = self.total.get(tag, 0) + 1
+        self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+        if tag in TABLE:
+            self.scopes.append({})
+        near = self.nearest[-1]
+        if tag in OF_INTEREST:
+            near = near.copy()
+            for k in OF_INTEREST[tag]:
+                near[k] = place
+        self.nearest.append(near)
+
+    def cut(self, place: int) -> None:
+        """Close everything from a place in the stack on."""
+        while len(self.stack) > place:
+            tag = self.elements[self.stack.pop()].tag
+            self.owner.pop()
+            self.nearest.pop()
+            if tag in TABLE:
+                self.scopes.pop()
+            self.total[tag] -= 1
+            self.scopes[-1][tag] -= 1
+
+    def close(self, tag: str) -> None:
+        """An end tag: that of a block closes the innermost one, any other only within the innermost table."""
+        if (self.total if tag in BLOCK else self.scopes[-1]).get(tag, 0):
+            place = len(self.stack) - 1
+            while self.elements[self.stack[place]].tag != tag:
+                place -= 1
+            self.cut(place)
+
+    def imply(self, kind: str) -> None:
+        """Close the innermost elements that a start tag ends, and all in them, unless one of its scope is between."""
+        ends = IMPLIED[kind][0]
+        while True:
+            place = self.nearest[-1][KINDS[kind]]
+            if not place or self.elements[self.stack[place]].tag not in ends:
+                return
+            self.cut(place)
+            if len(ends) == 1:
+                return
+
+
 def parse(html: str) -> tuple[list[Element], list[Block]]:
-    """Elements (0 is the root) and blocks of text in page order; unclosed, stray and crossed tags are tolerated."""
+    """Elements (0 is the root) and blocks of text in page order; unclosed, stray and crossed tags are tolerated.
+
+    One pass; the work is that of the page's length, however deep it nests.
+    """
     elements = [Element("#root", -1, False, False)]
     blocks: list[Block] = []
-    stack = [0]  # open elements
+    open_ = _Open(elements)
+    stack = open_.stack
     block: Block | None = None
     at, n, balanced, last = 0, len(html), True, html.rfind(">")
 
@@ -109,8 +176,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
         if block is None:
             if piece.isspace():
                 return
-            owner = next(i for i in reversed(stack) if elements[i].tag in BLOCK or i == 0)
-            block = Block(owner)
+            block = Block(open_.owner[-1])
             blocks.append(block)
         if "&" in piece:
             piece = entities.unescape(piece)
@@ -121,7 +187,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
     while at < n:
         start = html.find("<", at)
         if start < 0 or start > last:
-            text(html[at:])
+            text(html[at:].partition("<!--")[0])  # a comment that is not closed goes to the end
             break
         m = TAG.match(html, start)
         if m is None:  # a sign, not a tag
@@ -144,12 +210,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
         if tag in BLOCK:
             block = None
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
-                if elements[stack[i]].tag in TABLE and tag not in BLOCK:
-                    break
+            open_.close(tag)
             continue
         if tag in VOID:
             continue
@@ -158,49 +219,44 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
             at = end.end() if end else n
             continue
         if tag in CLOSES:
-            _imply(elements, stack, CLOSES[tag], SCOPE.get(tag, TABLE))
+            open_.imply(tag)
         elif tag in BLOCK:
-            _imply(elements, stack, {"p"}, SCOPE["p"])
+            open_.imply("p")
         up = elements[stack[-1]]
         mark = 0 if tag in TOP or up.junk else _marked(attributes, tag)
         junk = up.junk or tag in JUNK or mark == 2
         slug = tag != "main" and (up.slug or (mark == 1 and not up.article))
         elements.append(Element(tag, stack[-1], junk, up.link or tag == "a", slug, up.article or tag in ("article", "main")))
         if not attributes.endswith("/") or tag in BLOCK or tag == "a":
-            stack.append(len(elements) - 1)
+            open_.push(len(elements) - 1, tag)
     return elements, blocks
 
 
-def _imply(elements: list[Element], stack: list[int], ends: set[str], scope: set[str]) -> None:
-    """Close the innermost open element of ``ends``, and all in it, unless one of ``scope`` is between."""
-    for i in range(len(stack) - 1, 0, -1):
-        tag = elements[stack[i]].tag
-        if tag in ends:
-            del stack[i:]
-            if len(ends) > 1:
-                _imply(elements, stack, ends, scope)
-            return
-        if tag in scope or (tag in ("div", "article", "section", "main", "body") and "p" in ends):
-            return
-
-
 def _score(elements: list[Element], texts: list[tuple[int, str, int]]) -> np.ndarray:
-    """Points from paragraphs, times the share of text that is not in links; negative for what can be no container."""
+    """Points from paragraphs, times the share of text that is not in links; negative for what can be no container.
+
+    A paragraph gives its points to the innermost container, half of them to the next and a third of a share to those
+    above, over ``LEVELS`` containers. Lengths are summed from the leaves up: children come after their parents.
+    """
+    above = [0] * len(elements)  # the innermost container above each element
+    for i, e in enumerate(elements[1:], 1):
+        above[i] = e.parent if elements[e.parent].tag not in LEAF else above[e.parent]
     for owner, text, linked in texts:
         if elements[owner].slug:
             continue
-        i = owner
-        while i >= 0:
-            elements[i].chars += len(text)
-            elements[i].linked += linked
-            i = elements[i].parent
-        up = elements[owner].parent if elements[owner].tag in LEAF else owner
-        points, level = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0), 0
-        while up >= 0:
-            if elements[up].tag not in LEAF:
-                elements[up].points += points / (1, 2)[level] if level < 2 else points / (3 * level)
-                level += 1
-            up = elements[up].parent
+        elements[owner].chars += len(text)
+        elements[owner].linked += linked
+        up = owner if elements[owner].tag not in LEAF else above[owner]
+        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)
+        for level in range(LEVELS):
+            elements[up].points += points / (1, 2)[level] if level < 2 else points / (3 * level)
+            if not up:
+                break
+            up = above[up]
+    for e in reversed(elements[1:]):
+        up = elements[e.parent]
+        up.chars += e.chars
+        up.linked += e.linked
     bonus = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 3.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "html": -10.0, "body": -5.0, "#root": -20.0}
     out = np.full(len(elements), -1e9)
     for i, e in enumerate(elements):

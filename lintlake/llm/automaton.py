@@ -82,6 +82,17 @@ class _Parser:
         return self.cased(values)
 
 
+def _mirrored(tree):
+    """The tree of the same pattern read backwards."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        return ("rep", _mirrored(tree[1]), *tree[2:])
+    parts = [_mirrored(p) for p in tree[1]]
+    return (kind, parts[::-1] if kind == "cat" else parts)
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.moves: list[tuple[frozenset[int], int] | None] = []
@@ -130,15 +141,17 @@ class Automaton:
     """A minimal automaton for several patterns: ``table`` (states, 256), ``accepts`` (bit per pattern); state 0 starts.
 
     If ``anywhere``, matches may begin at any byte; else only at the first, and ``dead`` is the state of no return.
+    ``backwards`` reads patterns and texts from the end, so that a match is seen where it begins.
     """
 
-    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool) -> None:
+    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool, backwards: bool = False) -> None:
         nfa = _Nfa()
         start, ends = nfa.state(), {}
         for bit, (pattern, any_case) in enumerate(patterns):
             own = nfa.state()
             nfa.free[start].append(own)
-            ends[nfa.add(_Parser(pattern, any_case).alternatives(), own)] = 1 << bit
+            tree = _Parser(pattern, any_case).alternatives()
+            ends[nfa.add(_mirrored(tree) if backwards else tree, own)] = 1 << bit
         sets = {m[0] for m in nfa.moves if m}
         kinds = np.zeros(256, np.int64)
         for s in sets:  # bytes that no pattern tells apart form one kind
@@ -201,6 +214,18 @@ class Automaton:
                 hit |= masks[state]
         return hit
 
+    def begins(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, patterns as bits) of every place where a match begins, first to last; one pass from the end. For an
+        automaton that reads backwards."""
+        flat, final, masks, state, at, out = self.flat, self.final, self.masks, 0, len(data), []
+        for b in reversed(data):
+            at -= 1
+            state = flat[state + b]
+            if state >= final:
+                out.append((at, masks[state]))
+        out.reverse()
+        return out
+
     def longest(self, data: bytes, start: int) -> int:
         """End of the longest match that begins at ``start``, or -1."""
         flat, final, dead, state, end = self.flat, self.final, self.dead * 256, 0, -1

@@ -1,13 +1,12 @@
 """Secret scans with one combined automaton.
 
 All rules are compiled into one minimal deterministic automaton, and each text is read once, byte by byte, whatever the
-number of rules. Texts in which a rule's witness occurs then get that rule's spans from its own automaton: leftmost,
-longest, non-overlapping matches.
+number of rules. It reads from the end, so that it is in an accepting state just where a match begins; from there the
+rule's own automaton follows the match to its end: leftmost, longest, non-overlapping matches.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,8 +22,8 @@ from .common import with_arrow
 class Rule:
     """A match is ``head`` and then ``value``; it counts if the value has ``least`` characters.
 
-    ``witness`` occurs in every such match; it is kept short where it can be, for counters of several rules multiply the
-    states of the combined automaton.
+    ``witness`` begins every match that counts, and every match that could take such a one's place; it is kept short where
+    it can be, for counters of several rules multiply the states of the combined automaton.
     """
 
     kind: str
@@ -50,39 +49,37 @@ RULES = BASE + EXTRA
 
 
 class Scanner:
+    """One automaton for all rules finds where their matches begin; each match is then followed to its end once."""
+
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.all = Automaton([(r.witness, r.any_case) for r in rules], True)
+        self.all = Automaton([(r.witness, r.any_case) for r in rules], True, backwards=True)
         self.own = [Automaton([(r.head + r.value, r.any_case)], False) for r in rules]
         self.heads = [Automaton([(r.head, r.any_case)], False) if r.head else None for r in rules]
-        self.first = [bytes(b for b in range(256) if a.table[0][b] != a.dead) for a in self.own]
-
-    def matches(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        """Byte spans of rule k that count."""
-        own, head, rule, first = self.own[k], self.heads[k], self.rules[k], frozenset(self.first[k])
-        out, i, n = [], 0, len(data)
-        while i < n:
-            if data[i] in first and (end := own.longest(data, i)) > 0:
-                begin = head.longest(data, i) if head else i
-                if end - begin >= rule.least:
-                    out.append((i, end))
-                i = end
-            else:
-                i += 1
-        return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, rule number, end) in code points, sorted."""
+        """(start, rule number, end) in code points, sorted. The work is that of the text's length."""
         data = text.encode("utf-8", "surrogatepass")
-        hit, out = self.all.scan(data), []
-        for k in range(len(self.rules)):
-            if hit >> k & 1:
-                out += [(s, k, e) for s, e in self.matches(k, data)]
+        out, free = [], [0] * len(self.rules)
+        for at, bits in self.all.begins(data):
+            for k, rule in enumerate(self.rules):
+                if bits >> k & 1 and at >= free[k]:
+                    end = self.own[k].longest(data, at)
+                    begin = self.heads[k].longest(data, at) if rule.head else at
+                    if end - begin >= rule.least:
+                        out.append((at, k, end))
+                    free[k] = max(at + 1, end)  # a match that does not count takes its place all the same
         out.sort()
-        if len(data) != len(text):
-            at = {b: len(data[:b].decode("utf-8", "surrogatepass")) for b in {x for s, _, e in out for x in (s, e)}}
-            out = [(at[s], k, at[e]) for s, k, e in out]
-        return out
+        return self._in_code_points(out, data) if len(data) != len(text) else out
+
+    @staticmethod
+    def _in_code_points(spans: list[tuple[int, int, int]], data: bytes) -> list[tuple[int, int, int]]:
+        """Byte places to code points; the text is decoded once, from place to place."""
+        place, last, n = {}, 0, 0
+        for b in sorted({x for s, _, e in spans for x in (s, e)}):
+            n += len(data[last:b].decode("utf-8", "surrogatepass"))
+            place[b], last = n, b
+        return [(place[s], k, place[e]) for s, k, e in spans]
 
 
 @lru_cache(maxsize=4)
@@ -111,7 +108,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) from the rows of scan()."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) from the rows of scan(), row by row; no spans give the hash
+    of the empty string."""
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in BASE]
@@ -133,7 +131,8 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule,
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced and ``n_chars``, if there, counted anew where a text changed."""
+    """``docs`` with the secrets in ``text`` replaced and ``n_chars``, if there, counted anew where a text changed. Every
+    row stays, repeated ones, null and empty texts as they are; other columns are not looked at."""
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 Terms are what does not depend on the language: n-grams of character classes with runs collapsed (the shape of words,
-marks and lines) and how much words and lines repeat. Weighted term vectors of a bounded labelled sample give, by a
+marks and lines) and how much words and lines repeat, in bins that weigh as much as some dozen n-grams (``REPEATS``).
+Words themselves are no terms: a poor text of ordinary shape cannot be told from a good one. Weighted term vectors of a bounded labelled sample give, by a
 truncated singular value decomposition, a small latent space. The sample's latent vectors are sent to all tasks; every
 document's cosines with all of them are computed exactly, block by block, and its nearest neighbours vote, weighted by
-similarity.
+the eighth power of their similarity (``POWER``), so that a near neighbour outvotes several far ones.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .sampling import held_out, labelled_sample
 
 #: Bound of the labelled rows of each label, latent dimensions, neighbours.
 SAMPLE, DIMENSIONS, NEIGHBOURS = 1500, 48, 15
+#: Power of a similarity as the weight of a vote.
+POWER = 8
+#: Weights of the bins of repetition: the same word twice running, few distinct words in a stretch, lines that repeat.
+REPEATS = (8.0, 4.0, 4.0)
 
 
 def _classes() -> np.ndarray:
@@ -71,14 +76,14 @@ def term_counts(text: str | None) -> np.ndarray:
     out = np.log1p(out)
     words = text.split()
     if words:
-        scale, at = 8.0, N * N + 2048
+        at = N * N + 2048
         same = sum(map(eq, words, words[1:])) / len(words)
         lines = text.split("\n")
         # a long text repeats words anyway, so distinct words are looked at in stretches
         stretch = [len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in range(0, len(words), 200)]
-        out[at + _bin(same)] = scale
-        out[at + BINS + _bin(sum(stretch) / len(stretch))] = scale / 2
-        out[at + 2 * BINS + _bin(1 - len(set(lines)) / len(lines))] = scale / 2
+        out[at + _bin(same)] = REPEATS[0]
+        out[at + BINS + _bin(sum(stretch) / len(stretch))] = REPEATS[1]
+        out[at + 2 * BINS + _bin(1 - len(set(lines)) / len(lines))] = REPEATS[2]
     return out
 
 
@@ -93,7 +98,8 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[str | None], block: int = 128) -> np.ndarray:
-        """Share of label 1 among the nearest neighbours, weighted by similarity; the sample's share where there are none."""
+        """Share of label 1 among the nearest neighbours, weighted by similarity to the power ``POWER``; the sample's share
+        where no neighbour has a similarity above 0."""
         out = np.full(len(texts), self.prior)
         k = min(self.neighbours, len(self.labels))
         if not k:
@@ -101,7 +107,7 @@ class Model:
         for at in range(0, len(texts), block):
             near = self.project(np.stack([term_counts(t) for t in texts[at : at + block]])) @ self.vectors.T
             best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0.0) ** 8
+            weight = np.maximum(np.take_along_axis(near, best, 1), 0.0) ** POWER
             total = weight.sum(axis=1)
             votes = (weight * self.labels[best]).sum(axis=1)
             out[at : at + block] = np.where(total > 1e-12, votes / np.maximum(total, 1e-12), self.prior)
@@ -127,7 +133,9 @@ def fit(texts: list[str | None], labels: list[int], dimensions: int = DIMENSIONS
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model:
-    """A model from at most ``sample`` labelled rows of each label, held-out rows excepted."""
+    """A model from at most ``sample`` labelled rows of each label (and SAMPLE_BYTES of their texts), held-out rows
+    excepted: see labelled_sample() for labels that contradict and ids that repeat. Without labelled rows every score is
+    0.5. The same rows give the same model in whatever order they arrive."""
     rows = labelled_sample(docs, labels, "quality", sample)
 
     def run(batches):
@@ -140,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions:
         np.savez_compressed(out, **fit([texts[i] for i in order], [y[i] for i in order], dimensions))
         yield pa.RecordBatch.from_pydict({"model": pa.array([out.getvalue()], pa.binary())})
 
-    got = np.load(io.BytesIO(rows.repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    got = np.load(io.BytesIO(made["model"])) if made else fit([], [])  # an empty sample may have no task at all
     return Model(got["idf"], got["basis"], got["vectors"], got["labels"], float(got["prior"]))
 
 
@@ -166,7 +175,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score below the threshold; all columns as they were."""
+    """``docs`` without the rows that score below the threshold; all columns as they were.
+
+    Null, empty and wordless texts have the sample's share of label 1 as their score and stay where that reaches the
+    threshold: on purpose, since nothing tells against them. Rows with null ids and repeated rows are scored like any.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is the logistic of its words' weights (words and their beginnings); a document is toxic if any
-sentence is: its score is the noisy-or of theirs. The weights are learnt from document labels alone, and then also tell
+A document is a bag of sentences. A sentence's score is the logistic of its words' weights (words and their beginnings);
+a document is toxic if any sentence is: its score is the noisy-or of theirs. The weights are learnt from document labels alone, and then also tell
 which sentences offend.
 """
 
@@ -118,9 +118,11 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, rate: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """A model from the labelled rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0: at most ``sample`` of each label.
+    """A model from the labelled rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0: at most ``sample`` of each
+    label and SAMPLE_BYTES of their texts; see labelled_sample() for labels that contradict and ids that repeat.
 
-    Without labelled rows, or with one label only, every score is that of the bias.
+    Without labelled rows, or with one label only, every score is that of the bias. Rows are sorted before they are
+    fitted, so the model does not depend on how the tables are partitioned.
     """
     rows = labelled_sample(docs, labels, label_col, sample)
 
@@ -129,12 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
         for b in batches:
             texts += [t or "" for t in b.column(0).to_pylist()]
             y += b.column(1).to_pylist()
-        weights, bias = fit(texts, np.array(y)) if len(set(y)) > 1 else ({}, -4.0)
+        order = sorted(range(len(y)), key=lambda i: (texts[i], y[i]))
+        weights, bias = fit([texts[i] for i in order], np.array([y[i] for i in order])) if len(set(y)) > 1 else ({}, -4.0)
         out = io.BytesIO()
         np.savez_compressed(out, words=np.array(list(weights), dtype="U"), weights=np.array(list(weights.values()), np.float64), bias=np.float64(bias))
         yield pa.RecordBatch.from_pydict({"model": pa.array([out.getvalue()], pa.binary())})
 
-    got = np.load(io.BytesIO(rows.repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    if not made:  # an empty sample may have no task at all
+        return {}, -4.0
+    got = np.load(io.BytesIO(made["model"]))
     return dict(zip(got["words"].tolist(), got["weights"].tolist(), strict=True)), float(got["bias"])
 
 

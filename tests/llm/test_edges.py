@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for each operator and stage."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lintlake.llm import decontam, html_extract, minhash, packing, quality, secret_scan, simhash, token_counts, toxicity, warc
+from lintlake.llm import decontam, html_extract, minhash, packing, quality, sampling, secret_scan, simhash, token_counts, toxicity, warc
 from lintlake.llm.automaton import Automaton
 from lintlake.llm.common import connected_components
 from lintlake.llm.queries import tokenizer_path
@@ -414,3 +416,45 @@ def test_pipeline_stages(spark, docs, none, tmp_path, bench):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r["doc_id"] for r in rows}
     assert not any(i and 8 <= i < 200 and i % 2 == 0 for i in ids) and any(i and 9 <= i < 200 for i in ids)  # even ones are of low quality
+
+
+def test_sample_is_bounded_and_settled(spark):
+    """The smallest of contradicting labels, one text of an id, the bound of bytes, no held-out rows."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (2, None), (3, "x" * 50), (4, "y" * 50), (6, "z"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 1), (6, None), (None, 1), (7, 1)], "doc_id long, toxic int")
+    free = {i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5}
+    texts = {1: ("a", 0), 2: ("", 1), 3: ("x" * 50, 1), 4: ("y" * 50, 1)}
+    got = lambda **how: sorted((r["text"], r["label"]) for r in sampling.labelled_sample(docs, labels, "toxic", 10, **how).collect())
+    assert got() == sorted(texts[i] for i in free)
+    assert sum(len(t) for t, y in got(most_bytes=60) if y) <= 60 and len(got(most_bytes=0)) <= 1
+    assert sampling.labelled_sample(docs, labels, "toxic", 0).count() == 0
+
+
+def test_quality_votes_against_a_plain_version():
+    """Cosines of the latent vectors and the vote, pair by pair in plain floating point."""
+    rng = random.Random(6)
+    made = lambda bad: " ".join(rng.choice(["Word", "house,", "River.", "9", "a"]) + (" ###" if bad and rng.random() < 0.5 else "") for _ in range(rng.randrange(5, 90)))
+    texts = [made(i % 2) for i in range(80)]
+    model = quality.Model(**{k: v if k != "prior" else float(v) for k, v in quality.fit(texts, [1 - i % 2 for i in range(80)]).items()})
+    asked = [made(i % 2) for i in range(40)] + ["", None, " \n"]
+    for text, got in zip(asked, model.scores(asked, block=7), strict=True):
+        z = (quality.term_counts(text).astype(float) * model.idf) @ model.basis.astype(float)
+        cosines = [float(z @ v) / max(float(np.linalg.norm(z)), 1e-9) for v in model.vectors.astype(float)]
+        near = sorted(range(80), key=lambda i: -cosines[i])[: quality.NEIGHBOURS]
+        weights = [max(cosines[i], 0.0) ** 8 for i in near]
+        want = sum(w * model.labels[i] for w, i in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else model.prior
+        assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    """Noisy-or over the sentences, each the logistic of the weights of its distinct features."""
+    texts = [r["text"] for r in labelled(spark).collect()]
+    weights, bias = toxicity.train(labelled(spark), labels_of(spark))
+    assert toxicity.train(labelled(spark).repartition(7), labels_of(spark).repartition(3)) == (weights, bias)
+    for text, got in zip(texts, toxicity.Scorer((weights, bias)).scores(texts), strict=True):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", text or ""):
+            if sentence.strip():
+                own = {f for w in sentence.split() for f in toxicity.features(w)}
+                clean *= 1 - 1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in own))))
+        assert got == pytest.approx(1 - clean, abs=1e-9)

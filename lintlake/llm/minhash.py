@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, pieces, with_arrow
+from .common import columns, connected_components, discard, materialize, pieces, with_arrow
 from .simhash import LOWER, Forest
 
 PERMUTATIONS, WIDTH = 128, 5
@@ -84,50 +84,99 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(a == b)) / len(a)
 
 
+class Ranges:
+    """Ranges of (doc_id, hash of the text), about equally full: an id that fills several is cut by the hash."""
+
+    def __init__(self, quantiles: list[int]) -> None:
+        ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.ids = np.repeat(ids, times)
+        nth = np.arange(len(self.ids)) - np.repeat(np.cumsum(times) - times, times)
+        share = np.repeat(times, times).astype(object)
+        # the first cut of an id lies before all its texts, the others at equal steps of their hashes
+        self.hashes = np.array([-(2**63) + int(i) * 2**64 // int(n) for i, n in zip(nth, share, strict=True)], np.int64)
+
+    def of(self, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Range numbers: how many cuts are not above (rank, hash)."""
+        low, high = np.searchsorted(self.ids, rank, side="left"), np.searchsorted(self.ids, rank, side="right")
+        out = low.copy()
+        for i in np.flatnonzero(high > low):
+            out[i] = low[i] + np.searchsorted(self.hashes[low[i] : high[i]], hashes[i], side="right")
+        return out
+
+
+_BLOCK = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("hash", pa.int64()), ("text", pa.large_string())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(blocks: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks])
+
+
+def _dealt(docs: DataFrame, n_ranges: int) -> DataFrame:
+    """(part, guest, block): the documents of a range in compressed blocks, dealt by range; the first document of each
+    range comes as a guest to the range before (to the last one, that of the first), where it is the successor."""
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rank"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    wanted = [i / n_ranges for i in range(1, n_ranges)]
+    cuts = source.agg(F.percentile_approx("rank", wanted, 20 * n_ranges)).first()[0] or []
+    ranges = spark.sparkContext.broadcast(Ranges(sorted(cuts)))  # fewer numbers than ranges
+
+    def lowest():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rank, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((hashes, rank))
+            part, first = np.unique(ranges.value.of(rank, hashes)[order], return_index=True)
+            return columns(batch, part=part.astype(np.int64), rank=rank[order][first], hash=hashes[order][first])
+
+        return one
+
+    found = with_arrow(source.select("rank", "hash"), "part long, rank long, hash long", lowest, rows=1 << 16)
+    firsts = {r["part"]: tuple(r["low"]) for r in found.groupBy("part").agg(F.min(F.struct("rank", "hash")).alias("low")).collect()}  # a row per range
+    order = sorted(firsts)
+    shared = spark.sparkContext.broadcast({firsts[p]: order[i - 1] for i, p in enumerate(order)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before = ranges.value, shared.value
+        for batch in pieces(batches, 1 << 14, "text"):
+            table = pa.table({"doc_id": batch.column(0), "rank": batch.column(1), "hash": batch.column(2), "text": batch.column(3).cast(pa.large_string())}, schema=_BLOCK)
+            rank, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            part = own.of(rank, hashes)
+            rows = [(int(p), 0, np.flatnonzero(part == p)) for p in np.unique(part)]
+            rows += [(before[k], 1, np.array([i])) for i, k in enumerate(zip(rank.tolist(), hashes.tolist(), strict=True)) if k in before]
+            for p, guest, at in rows:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64()), "guest": pa.array([guest], pa.int32()), "block": pa.array([_packed(table.take(at))], pa.binary())})
+
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return source.mapInArrow(run, "part long, guest int, block binary").repartition(n_parts, "part").sortWithinPartitions("part", "guest")
+
+
 def fingerprint_with_edit(docs: DataFrame, k: int = PERMUTATIONS) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and their likenesses.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text
     has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document in ascending
     doc_id; after the last comes the first. Null texts are empty; texts without words share one fingerprint. Rows with a
-    null doc_id come first; rows with equal doc_id are ordered by text. Extra columns are dropped.
+    null doc_id come first; rows with equal doc_id are ordered by the hash of their text, so a repeated row may be its
+    own successor. Extra columns are dropped; an empty table gives an empty result.
 
-    Documents are dealt by ranges of doc_id, with the boundaries from approximate quantiles, so their text is shuffled
-    once. The first document of each range is also sent to the range before, where it is the last one's successor.
+    Documents are dealt by ranges of doc_id, in compressed blocks, so their text is shuffled once. A task holds one range
+    at a time: a quarter of a shuffle partition, however many rows one id has.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rank = F.coalesce("doc_id", F.lit(-(2**63)))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = 4 * n_parts
-    cuts = source.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0] or []
-    cuts = sorted(set(cuts))
-    coarse = cuts[:: (step := max(1, int(len(cuts) ** 0.5)))]
-    below = lambda values: F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda c: c <= rank)) if values else F.lit(0)
-    if cuts:
-        fine = F.array(*[F.array(*[F.lit(v).cast("long") for v in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-        at = below(coarse)
-        part = F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(F.get(fine, F.greatest(at - 1, F.lit(0))), lambda c: c <= rank)))
-    else:
-        part = F.lit(0)
-    placed = source.withColumn("part", part.cast("int")).withColumn("rank", rank)
-    firsts = {r["part"]: r["low"] for r in placed.groupBy("part").agg(F.min("rank").alias("low")).collect()}  # a row per range
-    order = sorted(firsts)
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    if order:
-        low = F.element_at(F.create_map(*[F.lit(x) for p in order for x in (p, firsts[p])]), F.col("part"))
-        prev = F.element_at(F.create_map(*[F.lit(x) for p in order for x in (p, before[p])]), F.col("part"))
-        guest = F.when(F.col("rank") == low, F.struct(prev.alias("part"), F.lit(1).alias("guest")))
-        places = F.filter(F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), guest), lambda x: x.isNotNull())
-        placed = placed.withColumn("at", F.explode(places)).select("doc_id", "text", "rank", F.col("at.part").alias("part"), F.col("at.guest").alias("guest"))
-    else:
-        placed = placed.withColumn("guest", F.lit(0)).select("doc_id", "text", "rank", "part", "guest")
-    dealt = placed.repartition(n_parts, "part").sortWithinPartitions("part", "guest", "rank", "text").select("doc_id", "text", "part", "guest")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(docs, min(4 * n_parts, 4000))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, out, last = Hasher(k), [], None
+        hasher = Hasher(k)
 
         def measure(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
             """Words, minima of the shingles that no edit reaches, minima of all, number of shared shingles."""
@@ -138,42 +187,77 @@ def fingerprint_with_edit(docs: DataFrame, k: int = PERMUTATIONS) -> DataFrame:
             part = hasher.minima(shingles[:shared])
             return words, part, np.minimum(part, hasher.minima(shingles[shared:])), shared
 
-        def row(own: tuple, following: tuple) -> tuple:
-            (doc_id, text, _, (words, part, all_, shared)), (_, next_text, _, measured) = own, following
+        def row(doc_id: int | None, text: str, measured: tuple, next_text: str, next_measured: tuple) -> tuple:
+            words, part, all_, shared = measured
             cut = len(text) // 4
             edited = text[: len(text) - cut] + next_text[:cut]
             new = hasher.word_hashes(edited)
             changed = hasher.shingles(new[shared:] if shared else new)
-            a, b, c = hasher.signature(all_), hasher.signature(np.minimum(part, hasher.minima(changed))), hasher.signature(measured[2])
+            a, b, c = hasher.signature(all_), hasher.signature(np.minimum(part, hasher.minima(changed))), hasher.signature(next_measured[2])
             return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), likeness(a, b), likeness(a, c)
 
-        done = set()  # of parts whose successor has been met; at most the few that share this task
-        for batch in pieces(batches, 512):
-            for doc_id, text, part_, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if guest and part_ in done:
-                    continue
-                own = (doc_id, text, part_, measure(text))
-                if last is not None:
-                    out.append(row(last, own))
-                last = own
-                if guest:
-                    done.add(part_)
-                    last = None
-            if out:
-                yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)})
-                out = []
+        def ranged(blocks: list[bytes], guest: bytes | None) -> Iterator[pa.RecordBatch]:
+            table = _unpacked(blocks)
+            order = np.lexsort((table.column("hash").to_numpy(), table.column("rank").to_numpy()))
+            table = table.take(order)
+            if guest is not None:
+                table = pa.concat_tables([table, _unpacked([guest]).slice(0, 1)])
+            out, last = [], None
+            for part in table.to_batches(max_chunksize=512):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    measured = measure(text)
+                    if last is not None:
+                        out.append(row(*last, text, measured))
+                    last = (doc_id, text, measured)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+                    out = []
+
+        at, blocks, guest = None, [], None
+        for batch in batches:
+            for part, is_guest, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    if blocks:
+                        yield from ranged(blocks, guest)
+                    at, blocks, guest = part, [], None
+                if is_guest:
+                    guest = guest or block
+                else:
+                    blocks.append(block)
+        if blocks:
+            yield from ranged(blocks, guest)
 
     return dealt.mapInArrow(run, schema)
 
 
+def similar_within(members: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a spanning forest of the pairs of sorted sets whose Jaccard similarity reaches ``threshold``."""
+    sizes = np.array([len(m) for m in members], np.int64)
+    forest = Forest(len(members))
+    for i in range(len(members) - 1):
+        j = np.arange(i + 1, len(members))
+        fits = (forest.label[j] != forest.label[i]) & (np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i]) - 1e-9)
+        j = j[fits & (sizes[j] > 0)]
+        if not len(j) or not sizes[i]:
+            continue
+        all_ = np.concatenate([members[k] for k in j])
+        place = np.minimum(np.searchsorted(members[i], all_), sizes[i] - 1)
+        both = np.add.reduceat((members[i][place] == all_).astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+        near = j[(both > 0) & (both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9)]
+        forest.add(np.full(len(near), i), near)
+    return forest.links()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, k: int = PERMUTATIONS, bucket: int = 256) -> DataFrame:
-    """(doc_id, fingerprint, class_id, n_links) for every row of ``docs``.
+    """(doc_id, fingerprint, class_id, tree_links) for every row of ``docs``.
 
     Distinct shingle sets whose signatures meet in a band of ``k / bands`` places are candidates; links are those whose
     exact Jaccard similarity of 5-word shingle sets reaches ``threshold``. class_id: smallest doc_id reachable over
-    links; n_links: links of the row's shingle set to other sets in the spanning forest. Sets are compared inside their
-    band bucket, a bucket of more than ``bucket`` sets in pairs of chunks, and nothing is expanded into all pairs. Null,
-    empty and wordless texts form one class; null doc_ids get a class but never name one.
+    links. tree_links: links of the row's set in a spanning forest of its class, not all its links: those of a group of
+    copies grow with its square. Sets are compared inside their band bucket, a bucket of more than ``bucket`` sets in
+    pairs of chunks; buckets of several bands with the same members are one, so a set travels once for each different
+    bucket. Null, empty and wordless texts form one class; null doc_ids get a class but never name one; repeated rows
+    stay repeated; extra columns are dropped.
     """
     rows = k // bands
 
@@ -183,48 +267,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, k:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = {"doc_id": batch.column(0), "fingerprint": [], "set_id": [], "shingles": []}
             for text in batch.column(1).to_pylist():
-                shingles = np.unique(hasher.shingles(hasher.word_hashes(text or "")))
-                out["fingerprint"].append(hasher.signature(hasher.minima(shingles)).tobytes())
+                shingles = np.unique(hasher.shingles(hasher.word_hashes(text or "")).view(np.int64))
+                out["fingerprint"].append(hasher.signature(hasher.minima(shingles.view(U))).tobytes())
                 out["set_id"].append(int(np.array([xxhash.xxh64_intdigest(shingles.tobytes())], U).view(np.int64)[0]))
-                out["shingles"].append(shingles.view(np.int64))
+                out["shingles"].append(shingles)
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("set_id", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
         return one
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     signed = materialize(with_arrow(source, "doc_id long, fingerprint binary, set_id long, shingles array<long>", make, "text"), "minhash")
-    sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "minhash-sets")
+    sets = materialize(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("fingerprint")), "minhash-sets")
     keyed = sets.select("set_id", F.posexplode(F.array(*[F.expr(f"xxhash64(substring(fingerprint, {2 * rows * b + 1}, {2 * rows}))") for b in range(bands)])).alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
     met = met.withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(1)), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("band", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "set_id").join(sets.select("set_id", "shingles"), "set_id")
-    groups = met.groupBy("band", "key", "lo", "hi").agg(F.collect_list(F.struct("set_id", "shingles")).alias("members")).where(F.size("members") > 1).select("members")
+    lists = met.groupBy("band", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.array_sort(F.collect_list("set_id")).alias("ids"))
+    lists = materialize(lists.where(F.size("ids") > 1).select("ids").distinct(), "minhash-buckets")
+    place = lists.select(F.xxhash64("ids").alias("x"), F.xxhash64(F.lit(1), "ids").alias("y"), F.explode("ids").alias("set_id"))
+    wanted = signed.select("set_id", "shingles").join(place.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    groups = place.join(wanted, "set_id").groupBy("x", "y").agg(F.collect_list(F.struct("set_id", "shingles")).alias("members")).select("members")
 
     def verify():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = [], []
-            for members in batch.column(0).to_pylist():
-                own = [np.array(m["shingles"], np.int64) for m in members]
-                forest = Forest(len(own))
-                for i in range(len(own)):
-                    for j in range(i + 1, len(own)):
-                        if forest.label[i] != forest.label[j]:
-                            both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                            if both and both >= threshold * (len(own[i]) + len(own[j]) - both):
-                                forest.add(np.array([i]), np.array([j]))
-                x, y = forest.links()
-                a += [members[i]["set_id"] for i in x]
-                b += [members[i]["set_id"] for i in y]
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            for members in batch.column(0):
+                own = members.values
+                ids = own.field("set_id").to_numpy()
+                i, j = similar_within([x.values.to_numpy() for x in own.field("shingles")], threshold)
+                a.append(ids[i])
+                b.append(ids[j])
+            both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+            return columns(batch, a=both[0].astype(np.int64), b=both[1].astype(np.int64))
 
         return one
 
     edges = materialize(with_arrow(groups, "a long, b long", verify, rows=64).distinct(), "minhash-links")
+    discard(lists)
     found = connected_components(edges, "minhash-links")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("tree_links"))
     member = found.withColumnRenamed("node", "set_id").join(sets.select("set_id", "rep"), "set_id")
     linked = member.join(member.groupBy("component").agg(F.min("rep").alias("lowest")), "component").select("set_id", "lowest")
-    table = sets.select("set_id", "rep").join(linked, "set_id", "left").join(degree, "set_id", "left").select("set_id", F.coalesce("lowest", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "fingerprint", "set_id").join(table, "set_id").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "class_id", "n_links")
+    table = sets.select("set_id", "rep").join(linked, "set_id", "left").join(degree, "set_id", "left").select("set_id", F.coalesce("lowest", "rep").alias("class_id"), F.coalesce("tree_links", F.lit(0)).alias("tree_links"))
+    return signed.select("doc_id", "fingerprint", "set_id").join(table, "set_id").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "class_id", "tree_links")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -144,13 +145,68 @@ def test_minhash_near_duplicates(docs, none, spark):
         made.append((3 * k + 2, " ".join(rng.choices(words, k=120))))
     got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), bucket=4).collect()}
     for k in range(12):
-        assert got[3 * k]["class_id"] == got[3 * k + 1]["class_id"] == 3 * k and got[3 * k]["n_links"] >= 1
-        assert got[3 * k + 2]["class_id"] == 3 * k + 2 and got[3 * k + 2]["n_links"] == 0
+        assert got[3 * k]["class_id"] == got[3 * k + 1]["class_id"] == 3 * k and got[3 * k]["tree_links"] >= 1
+        assert got[3 * k + 2]["class_id"] == 3 * k + 2 and got[3 * k + 2]["tree_links"] == 0
     rows = minhash.near_duplicates(docs).collect()
     assert len(rows) == 11 and {r["class_id"] for r in rows if r["doc_id"] in (0, 1, 2)} == {0}
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_ranges(spark):
+    """Ranges of a hot id, of few ids and of none: each row has the successor that the order gives it."""
+    ranges = minhash.Ranges([3, 5, 5, 5, 5, 9])
+    at = ranges.of(np.array([2, 3, 4, 5, 5, 5, 7, 9]), np.array([0, -(2**63), 0, -(2**62) * 2, -1, 2**62, 0, 5]))
+    assert at.tolist() == [0, 1, 1, 2, 3, 5, 5, 6]
+    rng = random.Random(8)
+    rows = [(i if rng.random() < 0.4 else 50, " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 40)))) for i in range(100)] + [(None, "x y"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [(r["doc_id"], r["text"] or "") for r in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h").orderBy("doc_id", "h").collect()]
+    want = sorted(((i, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(order)), key=str)
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in minhash.fingerprint_with_edit(df).collect()), key=str) == want
+
+
+def test_minhash_signature_against_a_plain_version():
+    """Every place of the signature from the permutations, shingle by shingle in plain integers."""
+    hasher, mask = minhash.Hasher(), 2**64 - 1
+    for text in ("", "one", "A b c d", "A b c d e F g h", "x " * 30 + "\u00c9t\u00e9"):
+        words = [xxhash.xxh64_intdigest(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()) for w in text.split()]
+        n, low = min(5, len(words)), [mask] * 128
+        for i in range(len(words) - n + 1 if words else 0):
+            x = sum(w * int(p) for w, p in zip(words[i : i + n], hasher.powers, strict=False)) & mask
+            x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & mask
+            x ^= x >> 29
+            low = [min(v, x * int(a) + int(b) & mask) for v, a, b in zip(low, hasher.a, hasher.b, strict=True)]
+        assert hasher.of(text).tolist() == [(v * 0xD6E8FEB86659FD93 & mask) >> 48 for v in low]
+
+
+def test_minhash_recall(spark):
+    """Of all pairs with a similarity of 0.8 or more, by brute force, at least nine tenths share a class; no others do."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    made = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randrange(40, 300))
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(0, max(2, len(own) // 30))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            made.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in made]
+    near = [(i, j) for i in range(len(made)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), bucket=8).collect()}
+    assert len(near) > 60 and sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in near:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(find(i) == find(got[i]) for i in got)
+
+
 def test_token_counts(docs, none):
     path = tokenizer_path("word_bpe_49k.json")
     rows = {r["doc_id"]: r for r in token_counts.token_counts(docs, path).collect()}

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, scratch_path, spread
 
-__all__ = ["ALL_ONES", "columns", "connected_components", "discard", "materialize", "pieces", "scratch_path", "spread", "with_arrow"]
+__all__ = ["ALL_ONES", "columns", "connected_components", "discard", "filesystem", "materialize", "pieces", "put_in_place", "scratch_path", "spread", "with_arrow"]
 
 ALL_ONES = 0xFFFFFFFFFFFFFFFF
 
@@ -37,6 +38,19 @@ def with_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI, by the names that Hadoop gives the stores (``s3a``) or a plain path."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else uri)
+
+
+def put_in_place(fs: pafs.FileSystem, draft: str, name: str) -> None:
+    """Give a finished file its name; one that a task before left there goes, since some stores move onto no file."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(draft, name)
+
+
 def columns(batch: pa.RecordBatch, **new: object) -> pa.RecordBatch:
     """A batch of the given columns; Arrow arrays stay as they are."""
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in new.items()})

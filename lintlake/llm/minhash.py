@@ -21,6 +21,8 @@ from .simhash import LOWER, Forest
 
 PERMUTATIONS, WIDTH = 128, 5
 CACHE = 300_000
+#: Text of a range of documents that one task holds, and the most ranges: their bounds are held by every task.
+RANGE_BYTES, RANGES = 32 << 20, 100_000
 U = np.uint64
 
 
@@ -125,7 +127,7 @@ def _dealt(docs: DataFrame, n_ranges: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rank"), F.xxhash64(text).alias("hash"), text.alias("text"))
     wanted = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = source.agg(F.percentile_approx("rank", wanted, 20 * n_ranges)).first()[0] or []
+    cuts = source.agg(F.percentile_approx("rank", wanted, max(10_000, 4 * n_ranges))).first()[0] or []
     ranges = spark.sparkContext.broadcast(Ranges(sorted(cuts)))  # fewer numbers than ranges
 
     def lowest():
@@ -167,10 +169,12 @@ def fingerprint_with_edit(docs: DataFrame, k: int = PERMUTATIONS) -> DataFrame:
     own successor. Extra columns are dropped; an empty table gives an empty result.
 
     Documents are dealt by ranges of doc_id, in compressed blocks, so their text is shuffled once. A task holds one range
-    at a time: a quarter of a shuffle partition, however many rows one id has.
+    at a time, however many rows one id has: at most a quarter of a shuffle partition and, by the optimizer's estimate of
+    the table, ``RANGE_BYTES`` of text (more only beyond ``RANGES`` ranges, some 3 TB).
     """
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(docs, min(4 * n_parts, 4000))
+    size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # texts are stored compressed
+    dealt = _dealt(docs, max(2, min(RANGES, max(4 * n_parts, size // RANGE_BYTES))))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     fields = [(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))]

@@ -17,11 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, scratch_path
+from .common import filesystem, materialize, pieces, put_in_place, scratch_path
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space for URLs
 DATE = "2024-01-01T00:00:00Z"
@@ -63,7 +62,7 @@ def with_first_copies(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives under ``folder``; one row (archive, records) for each.
 
-    Payloads of at least ``least`` bytes that an earlier page has too become revisits. A null html is an empty payload;
+    Archives are named by the URI that ``folder`` is given as. Payloads of at least ``least`` bytes that an earlier page has too become revisits. A null html is an empty payload;
     null urls and ids are written as empty. Repeated rows: the rows with the smallest page_id are all responses.
     """
 
@@ -74,9 +73,10 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{context.partitionId():06d}.warc.gz"
+        part = f"part-{context.partitionId():06d}.warc.gz"
+        name = f"{root}/{part}"
         draft = f"{root}/_draft-{context.partitionId():06d}-{context.taskAttemptId()}"
         n = 0
         with fs.open_output_stream(draft, compression=None) as out:
@@ -106,8 +106,8 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     put("request", uuid.uuid5(SPACE, f"request:{main}").urn, [*with_main, ("Content-Type", "application/http; msgtype=request")], asked)
                     put("revisit" if revisit else "response", main, headers, http if revisit else http + payload)
                     put("metadata", uuid.uuid5(SPACE, f"metadata:{main}").urn, [*with_main, ("Content-Type", "application/warc-fields")], f"page-id: {own}\r\n".encode())
-        fs.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"archive": pa.array([name]), "records": pa.array([n], pa.int64())})
+        put_in_place(fs, draft, name)
+        yield pa.RecordBatch.from_pydict({"archive": pa.array([f"{folder.rstrip('/')}/{part}"]), "records": pa.array([n], pa.int64())})
 
     return with_first_copies(pages).mapInArrow(run, "archive string, records long")
 
@@ -171,7 +171,7 @@ def read(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -
 
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                fs, path = pafs.FileSystem.from_uri(archive)
+                fs, path = filesystem(archive)
                 rows, size = [], 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for place, raw in enumerate(_members(stream)):
@@ -204,13 +204,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     written = materialize(write(pages, folder, least), "warc-archives")
-    scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
-    where = folder[len(scheme) :]
-    authority = where.partition("/")[0] if scheme else ""
-    prefix = scheme + (authority if scheme not in ("", "file://") else "")
-    archives = written.select(F.concat(F.lit(prefix), F.col("archive")).alias("archive"))
     n = max(1, written.count())
-    records = materialize(read(spark, archives.repartition(n)), "warc-records")
+    records = materialize(read(spark, written.select("archive").repartition(n)), "warc-records")
     met = captures(records)
     own = F.expr("try_cast(regexp_extract(metadata.block, 'page-id: *(-?[0-9]+)', 1) as long)")
     rows = met.select("record_id", F.col("type").alias("record_type"), "payload_digest", "payload_bytes", F.col("refers_to").alias("first_record"), own.alias("page_id"))

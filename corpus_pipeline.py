@@ -16,28 +16,48 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score below 0.3)."""
+    """Drops the documents that the quality classifier rejects (score below 0.3).
+
+    Null, empty and wordless texts have no neighbours and the score of the sample's share of good labels; they stay where
+    that reaches the line. Repeated rows and null ids are judged like any; of contradicting labels the smallest counts;
+    without labels all stay. Other columns than those of ``documents`` go here.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.accepted(docs.select(*COLUMNS), model, threshold=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each SimHash component."""
+    """Keeps one row of each SimHash component: that with the smallest doc_id.
+
+    Links are op1's, words in threes and at most 3 differing bits. Rows count, not ids: an id with several texts keeps
+    those that are no copies; a row without an id stays only if its component has none with one; null and empty texts are
+    one component.
+    """
     return simhash.keep_one(docs.select(*COLUMNS), radius=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item.
+
+    Null, empty and wordless texts hold none and stay; items without words have no windows; repeated rows and null ids
+    are treated like any; an empty benchmark drops nothing.
+    """
     return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in brackets in place of each secret; keeps all documents."""
+    """Puts the kind in brackets in place of each secret; keeps all rows, repeated ones, null and empty texts as they are.
+
+    ``n_chars`` is counted anew where a text changed.
+    """
     return secret_scan.redact(docs.select(*COLUMNS))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens; one row per piece."""
+    """Packs the documents into sequences of 1024 tokens; one row per piece.
+
+    A null or empty text is its end token alone; repeated rows are packed each; null ids are packed like any.
+    """
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), size=1024, end_id=2)
 
 

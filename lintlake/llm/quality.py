@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are what does not depend on the language: n-grams of character classes with runs collapsed (the shape of words,
-marks and lines) and how much words and lines repeat, in bins that weigh as much as some dozen n-grams (``REPEATS``).
-Words themselves are no terms: a poor text of ordinary shape cannot be told from a good one. Weighted term vectors of a bounded labelled sample give, by a
+Terms are words, hashed into buckets, and what does not depend on the language: n-grams of character classes with runs
+collapsed (the shape of words, marks and lines) and how much words and lines repeat, in bins that weigh as much as some
+dozen n-grams (``REPEATS``). Weighted term vectors of a bounded labelled sample give, by a
 truncated singular value decomposition, a small latent space. The sample's latent vectors are sent to all tasks; every
 document's cosines with all of them are computed exactly, block by block, and its nearest neighbours vote, weighted by
 the eighth power of their similarity (``POWER``), so that a near neighbour outvotes several far ones.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, with_arrow
+from .decontam import Words
 from .sampling import held_out, labelled_sample
 
 #: Bound of the labelled rows of each label, latent dimensions, neighbours.
@@ -53,6 +54,8 @@ CLASS = _classes()
 N = 40
 BINS = 16
 TERMS = N * N + 2048 + 3 * BINS
+#: Buckets of words, and the weight of a word beside the other terms; chosen on rows that are not held out.
+WORD_BITS, WORD_WEIGHT = 11, 0.5
 
 
 def _bin(share: float) -> int:
@@ -87,6 +90,15 @@ def term_counts(text: str | None) -> np.ndarray:
     return out
 
 
+def term_matrix(texts: list[str | None]) -> np.ndarray:
+    """Term weights of texts before idf, a row each: those of term_counts(), then of the buckets of words."""
+    words = Words(pa.array(texts, pa.string()))
+    held = np.zeros((len(texts), 1 << WORD_BITS), np.float32)
+    np.add.at(held, (words.doc, (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)), 1)
+    held *= (1000.0 / np.maximum(words.sizes, 1))[:, None].astype(np.float32)
+    return np.hstack([np.stack([term_counts(t) for t in texts]), np.log1p(held) * np.float32(WORD_WEIGHT)])
+
+
 class Model:
     """idf, projection, unit vectors of the sample and their labels."""
 
@@ -105,7 +117,7 @@ class Model:
         if not k:
             return out
         for at in range(0, len(texts), block):
-            near = self.project(np.stack([term_counts(t) for t in texts[at : at + block]])) @ self.vectors.T
+            near = self.project(term_matrix(texts[at : at + block])) @ self.vectors.T
             best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
             weight = np.maximum(np.take_along_axis(near, best, 1), 0.0) ** POWER
             total = weight.sum(axis=1)
@@ -116,7 +128,8 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[int], dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Arrays of a Model. The decomposition is a randomised range finder with power steps, from a fixed seed."""
-    x = np.stack([term_counts(t) for t in texts]) if texts else np.zeros((0, TERMS), np.float32)
+    parts = [term_matrix(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+    x = np.concatenate(parts) if parts else np.zeros((0, TERMS + (1 << WORD_BITS)), np.float32)
     seen = (x > 0).sum(axis=0)
     idf = (np.log((1 + len(x)) / (1 + seen)) + 0.3).astype(np.float32)
     x = x * idf

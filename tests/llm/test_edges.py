@@ -494,7 +494,7 @@ def test_quality_votes_against_a_plain_version():
     model = quality.Model(**{k: v if k != "prior" else float(v) for k, v in quality.fit(texts, [1 - i % 2 for i in range(80)]).items()})
     asked = [made(i % 2) for i in range(40)] + ["", None, " \n"]
     for text, got in zip(asked, model.scores(asked, block=7), strict=True):
-        z = (quality.term_counts(text).astype(float) * model.idf) @ model.basis.astype(float)
+        z = (quality.term_matrix([text])[0].astype(float) * model.idf) @ model.basis.astype(float)
         cosines = [float(z @ v) / max(float(np.linalg.norm(z)), 1e-9) for v in model.vectors.astype(float)]
         near = sorted(range(80), key=lambda i: -cosines[i])[: quality.NEIGHBOURS]
         weights = [max(cosines[i], 0.0) ** 8 for i in near]

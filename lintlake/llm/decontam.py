@@ -124,7 +124,7 @@ class Filter:
         return hashes & mask, hashes >> U(32) & mask
 
 
-def _filter(shingles: DataFrame, bits: int) -> Filter:
+def bitmap(shingles: DataFrame, bits: int = FILTER_BITS) -> Filter:
     """The filter of the column ``shingle``: tasks fold theirs, and at most ``bits / 64`` words reach the driver."""
     if bits & (bits - 1) or not 64 <= bits <= 1 << 31:
         raise ValueError("filter_bits must be a power of two from 64 to 2^31")
@@ -242,11 +242,11 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
     windows = made.groupBy("window").agg(F.first("m").alias("m"), F.first("width").alias("width"), F.first("shingles").alias("shingles"))
     parts = materialize(windows.select("window", "m", "width", F.size("shingles").alias("n"), F.posexplode("shingles").alias("offset", "shingle")), "window-shingles")
     widths = sorted(r["width"] for r in parts.select("width").distinct().collect())  # at most ``shingle`` numbers
-    frequency = _frequencies(docs.select("text"), _filter(parts, filter_bits), widths)
+    frequency = _frequencies(docs.select("text"), bitmap(parts, filter_bits), widths)
     rarest = F.min(F.struct("df", "shingle", "offset")).alias("r")
     prefix = parts.join(frequency, "shingle").groupBy("window", "m", "n").agg(F.count("*").alias("there"), rarest).where("there = n")
     prefix = materialize(prefix.select("window", "m", F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset")), "window-prefixes")
-    found = materialize(_scan(docs, _filter(prefix, filter_bits), widths, window), "contamination")
+    found = materialize(_scan(docs, bitmap(prefix, filter_bits), widths, window), "contamination")
 
     once = found.where(F.size("met") > 0).groupBy("key").agg(F.first("met").alias("met"))
     near = once.select("key", F.inline("met")).join(prefix, "shingle").where("offset <= before")

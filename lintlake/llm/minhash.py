@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, connected_components, discard, materialize, pieces, with_arrow
+from .decontam import bitmap
 from .simhash import LOWER, Forest
 
 PERMUTATIONS, WIDTH = 128, 5
@@ -260,28 +261,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, k:
     links. tree_links: links of the row's set in a spanning forest of its class, not all its links: those of a group of
     copies grow with its square. Sets are compared inside their band bucket, a bucket of more than ``bucket`` sets in
     pairs of chunks; buckets of several bands with the same members are one, so a set travels once for each different
-    bucket. Null, empty and wordless texts form one class; null doc_ids get a class but never name one; repeated rows
-    stay repeated; extra columns are dropped.
+    bucket. Texts are read twice: for signatures, and for the shingles of one document of each set that shares a
+    bucket, which a bitmap of fixed size tells; no other shingles leave their task. Null, empty and wordless texts form
+    one class; null doc_ids get a class but never name one; repeated rows stay repeated; extra columns are dropped.
     """
     rows = k // bands
 
-    def make():
+    def hashed(hasher: Hasher, text: str | None) -> tuple[np.ndarray, int]:
+        shingles = np.unique(hasher.shingles(hasher.word_hashes(text or "")).view(np.int64))
+        return shingles, int(np.array([xxhash.xxh64_intdigest(shingles.tobytes())], U).view(np.int64)[0])
+
+    def sign():
         hasher = Hasher(k)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = {"doc_id": batch.column(0), "fingerprint": [], "set_id": [], "shingles": []}
-            for text in batch.column(1).to_pylist():
-                shingles = np.unique(hasher.shingles(hasher.word_hashes(text or "")).view(np.int64))
-                out["fingerprint"].append(hasher.signature(hasher.minima(shingles.view(U))).tobytes())
-                out["set_id"].append(int(np.array([xxhash.xxh64_intdigest(shingles.tobytes())], U).view(np.int64)[0]))
-                out["shingles"].append(shingles)
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("set_id", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+            made = [hashed(hasher, text) for text in batch.column(2).to_pylist()]
+            prints = [hasher.signature(hasher.minima(s.view(U))).tobytes() for s, _ in made]
+            return columns(batch, doc_id=batch.column(0), mark=batch.column(1), set_id=pa.array([i for _, i in made], pa.int64()), fingerprint=pa.array(prints, pa.binary()))
 
         return one
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = materialize(with_arrow(source, "doc_id long, fingerprint binary, set_id long, shingles array<long>", make, "text"), "minhash")
-    sets = materialize(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("fingerprint")), "minhash-sets")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("mark"), F.col("text").alias("text"))
+    signed = materialize(with_arrow(source, "doc_id long, mark long, set_id long, fingerprint binary", sign, "text"), "minhash")
+    sets = materialize(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.first("fingerprint").alias("fingerprint")), "minhash-sets")
     keyed = sets.select("set_id", F.posexplode(F.array(*[F.expr(f"xxhash64(substring(fingerprint, {2 * rows * b + 1}, {2 * rows}))") for b in range(bands)])).alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
@@ -289,7 +291,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, k:
     lists = met.groupBy("band", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.array_sort(F.collect_list("set_id")).alias("ids"))
     lists = materialize(lists.where(F.size("ids") > 1).select("ids").distinct(), "minhash-buckets")
     place = lists.select(F.xxhash64("ids").alias("x"), F.xxhash64(F.lit(1), "ids").alias("y"), F.explode("ids").alias("set_id"))
-    wanted = signed.select("set_id", "shingles").join(place.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    marks = sets.join(place.select("set_id").distinct(), "set_id", "left_semi").select(F.col("mark").alias("shingle"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(marks))
+
+    def unfold():
+        hasher = Hasher(1)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = held.value.has(batch.column(0).to_numpy().view(U))
+            made = [hashed(hasher, text) for text in batch.column(1).filter(pa.array(known)).to_pylist()]
+            return columns(batch, set_id=pa.array([i for _, i in made], pa.int64()), shingles=pa.array([s for s, _ in made], pa.list_(pa.int64())))
+
+        return one
+
+    wanted = with_arrow(source.select("mark", "text"), "set_id long, shingles array<long>", unfold, "text").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     groups = place.join(wanted, "set_id").groupBy("x", "y").agg(F.collect_list(F.struct("set_id", "shingles")).alias("members")).select("members")
 
     def verify():

@@ -40,6 +40,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_edit(table(spark, sf_dir, "documents"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's other half, on its own for the disk it takes: bands joined, Jaccard verified, one row per document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
@@ -67,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_html_extraction, op3_quality, op4_minhash, op5_token_counts, op6_secrets, op7_toxicity, op8_warc, op9_decontamination, op10_packing)
+    own = (op1_simhash, op2_html_extraction, op3_quality, op4_minhash, op5_token_counts, op6_secrets, op7_toxicity, op8_warc, op9_decontamination, op10_packing, minhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 

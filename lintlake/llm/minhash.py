@@ -328,4 +328,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, k:
     member = found.withColumnRenamed("node", "set_id").join(sets.select("set_id", "rep"), "set_id")
     linked = member.join(member.groupBy("component").agg(F.min("rep").alias("lowest")), "component").select("set_id", "lowest")
     table = sets.select("set_id", "rep").join(linked, "set_id", "left").join(degree, "set_id", "left").select("set_id", F.coalesce("lowest", "rep").alias("class_id"), F.coalesce("tree_links", F.lit(0)).alias("tree_links"))
+    table = materialize(table, "minhash-table")  # so that the last join has a shuffle on either side, and a hot set is split
     return signed.select("doc_id", "fingerprint", "set_id").join(table, "set_id").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "class_id", "tree_links")

@@ -1,56 +1,9 @@
-"""32-bit hashes as Column expressions: FNV-1a over UTF-16 code units, and the mixer of the MinHash family."""
+"""Constants of the 32-bit hashes: FNV-1a over UTF-16 code units, and the mixer of the MinHash family."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Fixed values of the hash functions.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 MIX_STEP, MIX_A, MIX_B = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35
 MASK = 0xFFFFFFFF
 SEPARATOR = "\x01"
-
-
-def fnv1a(text: Column) -> Column:
-    """FNV-1a of the UTF-16 code units of a string, as an unsigned 32-bit value in a BIGINT."""
-    step = lambda h, unit: h.bitwiseXOR(unit) * F.lit(FNV_PRIME).cast("long") % F.lit(1 << 32)
-    wide = lambda cp: F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10)
-
-    def one(h: Column, char: Column) -> Column:
-        cp = F.ascii(char).cast("long")
-        return F.when(cp < 0x10000, step(h, cp)).otherwise(step(step(h, wide(cp)), F.lit(0xDC00) + cp.bitwiseAND(F.lit(0x3FF))))
-
-    return F.when(text == "", F.lit(FNV_OFFSET).cast("long")).otherwise(F.aggregate(F.split(text, ""), F.lit(FNV_OFFSET).cast("long"), one))
-
-
-def times32(a: Column, constant: int) -> Column:
-    """a * constant modulo 2^32 without leaving 64 bits: the constant in two halves."""
-    low, high = constant & 0xFFFF, constant >> 16
-    return (a * F.lit(low).cast("long") + F.shiftleft((a * F.lit(high).cast("long")).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)).bitwiseAND(F.lit(MASK))
-
-
-def mix(value: Column, seed: int) -> Column:
-    """The mixed value of one hash for permutation ``seed``."""
-    h = value.bitwiseXOR(F.lit((seed + 1) * MIX_STEP & MASK).cast("long"))
-    h = times32(h.bitwiseXOR(F.shiftright(h, 16)), MIX_A)
-    h = times32(h.bitwiseXOR(F.shiftright(h, 13)), MIX_B)
-    return h.bitwiseXOR(F.shiftright(h, 16))
-
-
-def gram_hashes(tokens: Column, k: int) -> Column:
-    """Distinct hashes, in order of first appearance, of all runs of min(k, n) tokens; empty if there are no tokens."""
-    n = F.size(tokens)
-    width = F.least(F.lit(k), n)
-    grams = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: fnv1a(F.array_join(F.slice(tokens, i, width), SEPARATOR)))
-    return F.when(n > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
-
-
-def minhash_native(hashes: Column, size: int = 128) -> Column:
-    """Signature by built-in functions only; empty for no hashes. For few hashes: minhash() of operators.clones is the bulk way."""
-
-    def lowest(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: mix(h, seed)))
-
-    mins = F.array(*[lowest(seed) for seed in range(size)])
-    return F.when(F.size(hashes) > 0, mins).otherwise(F.array().cast("array<bigint>"))

@@ -123,7 +123,7 @@ def with_gram_hashes(df: DataFrame, values: str, out: str = "k_gram_hashes", k:
     """``df`` with the tokens in ``values`` replaced by their distinct gram hashes, in order of first appearance.
 
     Arrow batches: all grams of a batch are hashed together from the buffer of its words. The hashes are used several
-    times downstream, and a mapped column is never evaluated twice. functions.hashing has the same as columns.
+    times downstream, and a mapped column is never evaluated twice.
     """
     return _mapped(df, values, out, lambda column: _distinct_grams(column, k))
 

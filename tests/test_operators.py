@@ -140,18 +140,18 @@ def test_parsers_take_anything(language, text):
 
 def test_hashes(spark):
     texts = ["", "a", "aé€", "😀x", "long " * 20]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(H.fnv1a(F.col("t")).alias("h")).collect()
-    assert [r["h"] for r in got] == [fnv(t) for t in texts]
+    one = clones.with_gram_hashes(spark.createDataFrame([([t],) for t in texts], "t array<string>"), "t")
+    assert [r["k_gram_hashes"] for r in one.collect()] == [[fnv(t)] for t in texts]
     values = [0, 1, 2**31, 2**32 - 1, 12345]
-    rows = spark.createDataFrame([(values,), ([],), (None,)], "h array<bigint>")
+    rows = spark.createDataFrame([(values,), ([],), (None,), (list(range(70_000)),), ([7],)], "h array<bigint>").coalesce(1)
     want = [min(mixed(v, s) for v in values) for s in range(128)]
-    assert [r["signature"] for r in clones.minhash(rows, "h").collect()] == [want, [], []]
-    assert rows.select(H.minhash_native(F.col("h")).alias("s")).first()["s"] == want
-    tokens = [["a", "b"] * 10, ["x"], []]
-    df = spark.createDataFrame([(t,) for t in tokens], "t array<string>")
-    native = [r["g"] for r in df.select(H.gram_hashes(F.col("t"), 12).alias("g")).collect()]
-    assert native == [r["k_gram_hashes"] for r in clones.with_gram_hashes(df, "t").collect()]
-    assert [len(g) for g in native] == [2, 1, 0] and native[1] == [fnv("x")]
+    got = [r["signature"] for r in clones.minhash(rows, "h").collect()]
+    assert got[:3] == [want, [], []] and got[4] == [mixed(7, s) for s in range(128)]
+    assert got[3][:4] == [min(mixed(v, s) for v in range(70_000)) for s in range(4)]
+    tokens = [["a", "b"] * 10, ["x"], [], None, [f"w{i}é" for i in range(30)], ["😀"] * 13]
+    made = [r["k_gram_hashes"] for r in clones.with_gram_hashes(spark.createDataFrame([(t,) for t in tokens], "t array<string>"), "t").collect()]
+    grams = lambda t: [fnv("\x01".join(t[i : i + 12])) for i in range(max(1, len(t) - 11))] if t else []
+    assert made == [list(dict.fromkeys(grams(t))) for t in tokens] and [len(g) for g in made] == [2, 1, 0, 0, 19, 1]
 
 
 def test_tokens(parsed):

@@ -201,6 +201,21 @@ def test_history_pairs(spark):
     assert got == [("a", "history/o/x", 1.0), ("a", "history/o/y", 1.0), ("a", "history/n/z", 0.25)]
 
 
+def test_lists_that_copies_fill(spark, monkeypatch):
+    """No grams are brought together where copies fill the lists, and the lists are those of all pairs."""
+    copies = [(p, f"{p}{i}", [1, 2, 3]) for p in "pq" for i in range(8)]
+    df = sets(spark, *copies, *[(p, f"near-{p}", [1, 2, 3, 4]) for p in "pq"])
+    monkeypatch.setattr(clones, "shared_grams", lambda *_: pytest.fail("grams are brought together"))
+    for mode in ("exact", "lsh"):
+        own = clones.project_pairs(df, 0.2, mode=mode).orderBy("project_key", "seq").collect()
+        assert [(r["file_a"], r["file_b"], r["jaccard"]) for r in own] == [(f"{p}0", f"{p}{i}", 1.0) for p in "pq" for i in range(1, 6)]
+        old = clones.history_pairs(df, df, 0.2, mode=mode).orderBy("project_key", "seq").collect()
+        want = [(f"{p}{i}", f"history/{q}/{q}{j}", 3) for p, q in ("pq", "qp") for i in range(8) for j in range(8)]
+        near = lambda p, q: (f"near-{p}", f"history/{q}/near-{q}", 4)
+        want = [x for p, q in ("pq", "qp") for x in [near(p, q), *[w for w in want if w[0][0] == p][:49]]]
+        assert [(r["file_a"], r["file_b"], r["matching_k_grams"]) for r in old] == want
+
+
 def test_blocks():
     body = [f"t{i}" for i in range(28)]
     lines = [1 + i // 4 for i in range(28)] + [9, 10] + [20 + i // 4 for i in range(28)]

@@ -112,3 +112,14 @@ def test_merged_list_has_blocks(spark, documents):
         assert [(r["file_a"], r["file_b"], r["kind"], r["matching_k_grams"], *(r[c] or None for c in lines)) for r in own] == pairs
         assert [r["seq"] for r in own] == list(range(1, len(own) + 1))
     assert any(r["kind"] == "block" for r in got)
+
+
+def test_merged_list_of_copies(spark, tmp_path, monkeypatch):
+    """Where copies fill both lists of each project, the report's list is made without any shuffle of grams."""
+    rows = [(p, text("copied")) for p in "pq" for _ in range(8)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(clones, "shared_grams", lambda *_: pytest.fail("grams are brought together"))
+    got = catalog.queries()["q41_merged_blocks"](spark, f"file://{tmp_path}").orderBy("project_key", "seq").collect()
+    want = plain([(f"d{i:012d}", s, t) for i, (s, t) in enumerate(rows)], True)
+    assert [(r["project_key"], r["file_a"], r["file_b"]) for r in got] == [(p, *x[:2]) for p in "pq" for x in want[p][0]]

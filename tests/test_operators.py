@@ -1,6 +1,7 @@
 """Operators against plain Python and hand-computed values."""
 
 import math
+import random
 import re
 
 import pytest
@@ -216,6 +217,37 @@ def test_lists_that_copies_fill(spark, monkeypatch):
         assert [(r["file_a"], r["file_b"], r["matching_k_grams"]) for r in old] == want
 
 
+def test_grams_in_common(spark):
+    """As told by brute force, whatever chunks and ranges they travel in: 32-bit hashes, longer ones, negative ones."""
+    rng = random.Random(3)
+    passages = [[rng.getrandbits(32) for _ in range(40)] for _ in range(12)] + [[-5, 2**40, 7]]
+    rows = [("pq"[i % 2], f"f{i:03d}", sorted({rng.getrandbits(32) for _ in range(30)}.union(*rng.sample(passages, i % 4)))) for i in range(120)]
+    df = sets(spark, *rows, ("p", "none", [])).repartition(3, "file")
+    for options in ({}, {"chunk": 500, "span": 64}):
+        got = clones.common_grams(df, ["project_key", "file"], "k_gram_hashes", **options).collect()
+        holders = {}
+        for p, f, h in rows:
+            for g in h:
+                holders.setdefault(g, []).append((p, f))
+        entries = {}
+        for g, at in holders.items():
+            if len(at) > 1:
+                entries.setdefault(tuple(at), []).append(g)
+        size = {(p, f): len(h) for p, f, h in rows}
+        want = [(*x, size[x], min(grams, key=lambda g: g % 2**64), len(grams)) for at, grams in entries.items() for x in at]
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_grams_of_one_set_cost_few_bytes(spark):
+    """Where lists are open, all grams meet, and those that nothing shares (nearly all of them) take some 3 bytes each."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.abs(F.hash("id", k)).cast("bigint")))
+    df = spark.range(2000, numPartitions=2).select(F.lit("p").alias("project_key"), F.format_string("f%05d", "id").alias("file"), grams.alias("k_gram_hashes"), F.array().cast("array<bigint>").alias("signature"))
+    before = written()
+    clones.project_pairs(df, 0.2, mode="exact").collect()
+    assert 1_000_000 < written() - before < 6_000_000
+
+
 def test_blocks():
     body = [f"t{i}" for i in range(28)]
     lines = [1 + i // 4 for i in range(28)] + [9, 10] + [20 + i // 4 for i in range(28)]
